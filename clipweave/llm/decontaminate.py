@@ -85,12 +85,13 @@ def scan(docs: DataFrame, benchmark: DataFrame, text: str = "text", item: str =
     # Lower-casing of all letters only joins words that A-Z lower-casing keeps apart, and is faster.
     base = base.withColumn("ws", words(F.lower("text"))).withColumn("n_words", F.size("ws").cast("long"))
     may = F.lit(True) if seeds is None else _may_hit(seeds)
-    base = base.select("row", "n_words", "text", may.alias("may"))
+    # The row number, which the filters read too, keeps them above it: pushed below, they would split the text again for every word.
+    base = base.select("row", "n_words", "text", F.monotonically_increasing_id().alias("rid"), may.alias("may"))
     none = F.array().cast("array<int>"), F.array().cast("array<string>")
-    clean = base.where(~F.col("may")).select("row", "n_words", none[0].alias("hits"), none[1].alias("items"))
+    clean = base.where(~F.col("may") & (F.col("rid") >= 0)).select("row", "n_words", none[0].alias("hits"), none[1].alias("items"))
 
     lengths = sorted(seeds) if seeds is not None else range(1, WINDOW + 1)
-    cand = base.where("may").select(F.monotonically_increasing_id().alias("rid"), "row", "n_words", words(ascii_lower(F.col("text"))).alias("ws"))
+    cand = base.where(F.col("may") & (F.col("rid") >= 0)).select("rid", "row", "n_words", words(ascii_lower(F.col("text"))).alias("ws"))
     found = [_spots(n) for n in lengths]
     spots = F.flatten(F.array(*found)) if found else F.array().cast("array<struct<at:int,w:string>>")
     each = cand.select("rid", "row", "n_words", F.explode_outer(spots).alias("s")).select("rid", "row", "n_words", "s.at", "s.w")
