@@ -7,8 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate
-from .common import table
+from . import decontaminate, secrets, warc
+from .common import Scratch, table
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -48,5 +48,25 @@ SELECT doc_id, CAST(len(ws) AS BIGINT) AS n_words, coalesce(n_hit, 0) AS n_hit,
 FROM d LEFT JOIN words USING (rid) LEFT JOIN items USING (rid)
 """
 
-QUERIES: dict[str, Query] = {"op1_decontamination": op1_decontamination}
-SQL: dict[str, str] = {"op1_decontamination": OP1_SQL}
+
+def op2_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = secrets.scan(table(spark, sf_dir, "documents").select("doc_id", "text"), secrets.Ledger(Scratch(spark, "op2")))
+    count = lambda kind: F.size(F.filter("findings", lambda x: x["kind"] == kind)).cast("long").alias(f"n_{kind}")
+    spans = secrets.spans(F.col("findings"))
+    return found.select("doc_id", *[count(k) for k in secrets.KINDS], F.sha2(spans, 256).alias("base_sha256"), spans.alias("spans"))
+
+
+def op3_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    scratch = Scratch(spark, "op3")
+    return warc.read(spark, warc.write(table(spark, sf_dir, "pages"), scratch), scratch)
+
+
+_B32 = " || ".join(f"substr('{warc.BASE32}', CAST((CAST('0x' || substr(sha1(h), {5 * g + 1}, 5) AS BIGINT) >> {15 - 5 * k}) & 31 AS INTEGER) + 1, 1)" for g in range(8) for k in range(4))
+OP3_SQL = f"""
+WITH p AS (SELECT page_id, strlen(h) AS payload_bytes, {_B32} AS payload_digest FROM (SELECT page_id, coalesce(html, '') AS h FROM pages)),
+q AS (SELECT *, max(page_id) OVER (PARTITION BY payload_digest) AS most FROM p)
+SELECT page_id, payload_bytes, payload_digest, CASE WHEN page_id = most THEN 'response' ELSE 'revisit' END AS record_type, CASE WHEN page_id <> most THEN most END AS refers_to FROM q
+"""
+
+QUERIES: dict[str, Query] = {"op1_decontamination": op1_decontamination, "op2_secrets": op2_secrets, "op3_warc": op3_warc}
+SQL: dict[str, str] = {"op1_decontamination": OP1_SQL, "op3_warc": OP3_SQL}
