@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, secrets, warc
+from . import decontaminate, mixing, secrets, simhash, warc
 from .common import Scratch, table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -68,5 +68,22 @@ q AS (SELECT *, max(page_id) OVER (PARTITION BY payload_digest) AS most FROM p)
 SELECT page_id, payload_bytes, payload_digest, CASE WHEN page_id = most THEN 'response' ELSE 'revisit' END AS record_type, CASE WHEN page_id <> most THEN most END AS refers_to FROM q
 """
 
-QUERIES: dict[str, Query] = {"op1_decontamination": op1_decontamination, "op2_secrets": op2_secrets, "op3_warc": op3_warc}
+
+def op6_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    drawn = mixing.draw(table(spark, sf_dir, "documents").select("doc_id", "text", "source"), Scratch(spark, "op6"))
+    return drawn.select("doc_id", "size", "source_size", "target", (F.col("size") * F.size("shards")).alias("taken"))
+
+
+def op8_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = simhash.classes(table(spark, sf_dir, "documents"), Scratch(spark, "op8"))
+    return found.select("doc_id", simhash.hex16(F.col("fp")).alias("fingerprint"), "component_id")
+
+
+QUERIES: dict[str, Query] = {
+    "op1_decontamination": op1_decontamination,
+    "op2_secrets": op2_secrets,
+    "op3_warc": op3_warc,
+    "op6_mixing": op6_mixing,
+    "op8_simhash": op8_simhash,
+}
 SQL: dict[str, str] = {"op1_decontamination": OP1_SQL, "op3_warc": OP3_SQL}
