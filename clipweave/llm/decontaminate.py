@@ -22,7 +22,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import ascii_lower
+from .common import Scratch, ascii_lower
 
 WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 #: The same before lower-casing: a separator run, then a word.
@@ -73,7 +73,7 @@ def _spots(n: int) -> Column:
     return F.transform(at, lambda i: F.struct(i.alias("at"), F.array_join(F.slice("ws", i + 1, n), " ").alias("w")))
 
 
-def scan(docs: DataFrame, benchmark: DataFrame, text: str = "text", item: str = "item_id", item_text: str = "text") -> DataFrame:
+def scan(docs: DataFrame, benchmark: DataFrame, scratch: Scratch, text: str = "text", item: str = "item_id", item_text: str = "text") -> DataFrame:
     """The documents with n_words, hits (positions of hit words, from 0, ascending) and items (sorted ids as strings).
 
     Columns of docs with these three names are replaced.
@@ -91,19 +91,16 @@ def scan(docs: DataFrame, benchmark: DataFrame, text: str = "text", item: str =
     clean = base.where(~F.col("may") & (F.col("rid") >= 0)).select("row", "n_words", none[0].alias("hits"), none[1].alias("items"))
 
     lengths = sorted(seeds) if seeds is not None else range(1, WINDOW + 1)
-    cand = base.where(F.col("may") & (F.col("rid") >= 0)).select("rid", "row", "n_words", words(ascii_lower(F.col("text"))).alias("ws"))
-    found = [_spots(n) for n in lengths]
-    spots = F.flatten(F.array(*found)) if found else F.array().cast("array<struct<at:int,w:string>>")
-    each = cand.select("rid", "row", "n_words", F.explode_outer(spots).alias("s")).select("rid", "row", "n_words", "s.at", "s.w")
+    # Written, so that a row keeps its number; only (number, position, window) are dealt out for the comparison.
+    cand = scratch.save(base.where(F.col("may") & (F.col("rid") >= 0)).select("rid", "row", "n_words", "text"), "candidates")
+    spots = F.flatten(F.array(*[_spots(n) for n in lengths])) if lengths else F.array().cast("array<struct<at:int,w:string>>")
+    each = cand.select("rid", words(ascii_lower(F.col("text"))).alias("ws")).select("rid", F.explode(spots).alias("s"))
     wide = F.broadcast(windows) if seeds is not None else windows  # the number of windows is at most that of seeds
-    each = each.join(wide, "w", "left")
-    hit = F.when(F.col("n").isNotNull(), F.sequence(F.col("at"), F.col("at") + F.col("n") - 1))
-    dirty = each.groupBy("rid").agg(
-        F.first("row").alias("row"),
-        F.first("n_words").alias("n_words"),
-        F.array_sort(F.array_distinct(F.flatten(F.collect_list(hit)))).alias("hits"),
+    found = each.select("rid", "s.at", "s.w").join(wide, "w").groupBy("rid").agg(
+        F.array_sort(F.array_distinct(F.flatten(F.collect_list(F.sequence("at", F.col("at") + F.col("n") - 1))))).alias("hits"),
         F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items"),
-    ).drop("rid")
+    )
+    dirty = cand.join(found, "rid", "left").select("row", "n_words", F.coalesce("hits", none[0]).alias("hits"), F.coalesce("items", none[1]).alias("items"))
     return clean.unionByName(dirty).select("row.*", "n_words", "hits", "items")
 
 
@@ -120,8 +117,8 @@ def without_hits(text: Column) -> Column:
     return F.concat(F.array_join(kept, ""), F.regexp_extract(text, TAIL, 0))
 
 
-def clean(docs: DataFrame, benchmark: DataFrame, text: str = "text") -> DataFrame:
+def clean(docs: DataFrame, benchmark: DataFrame, scratch: Scratch, text: str = "text") -> DataFrame:
     """The documents' own columns: contaminated ones are gone, lesser hits are cut out of their texts."""
-    found = scan(docs, benchmark, text)
+    found = scan(docs, benchmark, scratch, text)
     new = F.when(F.size("hits") > 0, without_hits(F.col(text))).otherwise(F.col(text))
     return found.where(~contaminated()).withColumn(text, new).select(*docs.columns)

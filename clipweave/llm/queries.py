@@ -14,7 +14,7 @@ Query = Callable[[SparkSession, str], DataFrame]
 
 
 def op1_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = decontaminate.scan(table(spark, sf_dir, "documents").select("doc_id", "text"), table(spark, sf_dir, "benchmark"))
+    found = decontaminate.scan(table(spark, sf_dir, "documents").select("doc_id", "text"), table(spark, sf_dir, "benchmark"), Scratch(spark, "op1"))
     return found.select(
         "doc_id",
         "n_words",
