@@ -8,6 +8,7 @@ import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 #: Maximal runs of anything but the space and the control characters 9 to 13.
 TOKEN = r"[^\x20\x09-\x0D]+"
@@ -27,6 +28,14 @@ def remainder_is(doc_id: Column, modulus: int, remainder: int) -> Column:
     return F.coalesce(F.crc32(doc_id.cast("string")) % modulus == remainder, F.lit(False))
 
 
+KINDS = {"string": T.StringType(), "double": T.DoubleType(), "long": T.LongType(), "int": T.IntegerType(), "boolean": T.BooleanType()}
+
+
+def widened(df: DataFrame, **more: str) -> T.StructType:
+    """The schema with further columns."""
+    return T.StructType([*df.schema.fields, *(T.StructField(k, KINDS[v]) for k, v in more.items())])
+
+
 class Scratch:
     """Tables in the folder that all executors share.
 

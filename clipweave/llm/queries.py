@@ -7,14 +7,14 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, mixing, secrets, simhash, warc
-from .common import Scratch, table
+from . import decontaminate, langid, lm, mixing, quality, secrets, simhash, topk, warc
+from .common import Scratch, remainder_is, table
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 
 def op1_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = decontaminate.scan(table(spark, sf_dir, "documents").select("doc_id", "text"), table(spark, sf_dir, "benchmark"), Scratch(spark, "op1"))
+    found = decontaminate.scan(table(spark, sf_dir, "documents").select("doc_id", "text"), table(spark, sf_dir, "benchmark"), Scratch(spark, "op1"), keep=["doc_id"])
     return found.select(
         "doc_id",
         "n_words",
@@ -79,11 +79,52 @@ def op8_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", simhash.hex16(F.col("fp")).alias("fingerprint"), "component_id")
 
 
+
+def op4_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("id"), F.col("embedding").alias("vector"))
+    return topk.search(rows, rows.where("id % 50 = 0"))
+
+
+OP4_SQL = """
+WITH c AS (SELECT DISTINCT vec_id, list_transform(embedding, lambda x: x > 0) AS code FROM embeddings WHERE len(embedding) = 64),
+d AS (
+  SELECT q.vec_id AS query_id, n.vec_id AS neighbour_id, CAST(len(list_filter(list_zip(q.code, n.code), lambda p: p[1] <> p[2])) AS INTEGER) AS distance
+  FROM c AS q JOIN c AS n ON q.vec_id <> n.vec_id WHERE q.vec_id % 50 = 0
+)
+SELECT * FROM (SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY distance, neighbour_id) AS INTEGER) AS rank FROM d) WHERE rank <= 10
+"""
+
+
+def op5_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    held = remainder_is(F.col("doc_id"), 7, 2)
+    model = lm.fit(docs.where(~held), Scratch(spark, "op5"))
+    return lm.score(docs, model).select("doc_id", held.alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")
+
+
+def op7_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
+    held = remainder_is(F.col("doc_id"), 5, 0)
+    model = langid.fit(docs.where(~held))
+    return langid.predict(docs.drop("lang"), model).select("doc_id", held.alias("held_out"), "lang_pred", "score", "rejected")
+
+
+def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    held = remainder_is(F.col("doc_id"), 4, 2)
+    model = quality.fit(docs.where(~held), table(spark, sf_dir, "labels").where(~held))
+    return quality.score(docs, model).select("doc_id", held.alias("held_out"), "score", "predicted")
+
+
 QUERIES: dict[str, Query] = {
     "op1_decontamination": op1_decontamination,
     "op2_secrets": op2_secrets,
     "op3_warc": op3_warc,
+    "op4_topk": op4_topk,
+    "op5_lm": op5_lm,
     "op6_mixing": op6_mixing,
+    "op7_language": op7_language,
     "op8_simhash": op8_simhash,
+    "op9_quality": op9_quality,
 }
-SQL: dict[str, str] = {"op1_decontamination": OP1_SQL, "op3_warc": OP3_SQL}
+SQL: dict[str, str] = {"op1_decontamination": OP1_SQL, "op3_warc": OP3_SQL, "op4_topk": OP4_SQL}
