@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, langid, lm, mixing, quality, secrets, simhash, topk, warc
+from . import decontaminate, langid, lm, mixing, passages, quality, secrets, simhash, topk, warc
 from .common import Scratch, remainder_is, table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -116,6 +116,12 @@ def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.score(docs, model).select("doc_id", held.alias("held_out"), "score", "predicted")
 
 
+def op10_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = passages.repeats(table(spark, sf_dir, "documents"), Scratch(spark, "op10"))
+    spans = F.array_join(F.transform("remove", lambda s: F.concat_ws(":", s["at"].cast("string"), s["to"].cast("string"))), ",")
+    return found.select("doc_id", "component_id", "n_links", "n_remove", spans.alias("remove_words"))
+
+
 QUERIES: dict[str, Query] = {
     "op1_decontamination": op1_decontamination,
     "op2_secrets": op2_secrets,
@@ -126,5 +132,6 @@ QUERIES: dict[str, Query] = {
     "op7_language": op7_language,
     "op8_simhash": op8_simhash,
     "op9_quality": op9_quality,
+    "op10_passages": op10_passages,
 }
 SQL: dict[str, str] = {"op1_decontamination": OP1_SQL, "op3_warc": OP3_SQL, "op4_topk": OP4_SQL}
