@@ -34,9 +34,9 @@ MAGIC, END = "WARC/1.1\r\n", "\r\n\r\n"
 BASE32 = "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567"
 
 
-def base32_sha1(payload: Column) -> Column:
-    """Upper-case base32 of the SHA-1: 8 groups of 20 bits, 4 digits each."""
-    group = lambda g: F.conv(F.substring(F.sha1(payload), 5 * g + 1, 5), 16, 10).cast("int")
+def base32(sha1: Column) -> Column:
+    """Upper-case base32 of a SHA-1 in hex: 8 groups of 20 bits, 4 digits each. The argument is a column of an earlier select, or it would be computed for each digit."""
+    group = lambda g: F.conv(F.substring(sha1, 5 * g + 1, 5), 16, 10).cast("int")
     digit = lambda n, k: F.substring(F.lit(BASE32), F.shiftright(n, 15 - 5 * k).bitwiseAND(31) + 1, 1)
     return F.concat(*[digit(group(g), k) for g in range(8) for k in range(4)])
 
@@ -44,7 +44,7 @@ def base32_sha1(payload: Column) -> Column:
 def write(pages: DataFrame, scratch: Scratch, name: str = "archive", min_bytes: int = 0, max_records: int = 50_000) -> str:
     """Write the archives and return their folder. Columns read: page_id, url, html."""
     base = pages.select(pages["page_id"], pages["url"], F.coalesce(pages["html"], F.lit("")).alias("html"))
-    base = base.withColumn("bytes", F.octet_length("html")).withColumn("digest", base32_sha1(F.col("html")))
+    base = base.withColumn("bytes", F.octet_length("html")).withColumn("sha1", F.sha1("html")).withColumn("digest", base32(F.col("sha1")))
     twice = base.where(F.col("bytes") >= min_bytes).groupBy("digest").agg(F.max("page_id").alias("first"), F.count("*").alias("n"))
     # Written, so that Spark knows its size and broadcasts it only if it is small.
     twice = scratch.save(twice.where("n > 1").select("digest", "first"), f"{name}-repeated")
@@ -119,7 +119,7 @@ def read(spark: SparkSession, path: str, scratch: Scratch, name: str = "records"
     payload = F.substr("body", F.lit(1), F.length("body") - len(END))
     info = info.select(
         "file", "at", "seq", "size", "head_size", "length", whole.alias("whole"),
-        F.when(whole, base32_sha1(payload)).alias("sha1"),
+        F.when(whole, F.sha1(payload)).alias("sha1"),
         _header("WARC-Type").alias("type"), _header("WARC-Record-ID").alias("id"), _header("WARC-Refers-To").alias("refers"), _header("WARC-Payload-Digest").alias("said"),
     )
     links = _placed(info).where(F.col("length").isNotNull() & (F.col("type") != ""))
@@ -137,14 +137,14 @@ def read(spark: SparkSession, path: str, scratch: Scratch, name: str = "records"
         text = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("offset", "value"))), lambda x: x["value"]), MAGIC)
         joined = parts.groupBy("file", "start", "head_size", "length").agg(text.alias("text"))
         cut = F.substr(F.col("text").cast("binary"), F.col("head_size") + 1, F.col("length").cast("int")).cast("string")
-        joined = joined.select("file", F.col("start").alias("offset"), base32_sha1(cut).alias("joined"))
+        joined = joined.select("file", F.col("start").alias("offset"), F.sha1(cut).alias("joined"))
         kept = kept.join(joined, ["file", "offset"], "left").withColumn("sha1", F.coalesce("sha1", "joined"))
 
     number = lambda c: F.when(F.regexp_extract(c, r"^<urn:page:(-?\d+)>$", 1) != "", F.regexp_extract(c, r"^<urn:page:(-?\d+)>$", 1).cast("long"))
     revisit = F.col("type") == "revisit"
     rows = kept.select(
         number("id").alias("page_id"), F.col("type").alias("record_type"), F.when(revisit, number("refers")).alias("refers_to"),
-        F.when(~revisit, F.col("length")).alias("own_bytes"), F.when(revisit, F.substring("said", 6, 32)).otherwise(F.col("sha1")).alias("payload_digest"),
+        F.when(~revisit, F.col("length")).alias("own_bytes"), F.when(revisit, F.substring("said", 6, 32)).otherwise(base32(F.col("sha1"))).alias("payload_digest"),
     )
     full = rows.where("own_bytes IS NOT NULL").join(rows.where("record_type = 'revisit'").select("payload_digest").distinct(), "payload_digest", "left_semi")
     full = full.groupBy("payload_digest").agg(F.max("own_bytes").alias("full_bytes"))
