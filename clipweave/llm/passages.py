@@ -7,12 +7,15 @@ Lines get a MinHash signature over their 5-word shingles, in BANDS bands of ROWS
 which finds a pair of Jaccard similarity 0.8 with probability 0.997; lines that share a
 band are candidates, and the Jaccard similarity of their shingle sets decides.
 
-Equal paragraphs count once in all comparisons. A band that up to BUCKET different
-lines share gives their pairs. In a larger one all lines are compared with the least,
-those similar to it are linked and leave, and the rest goes on as a bucket of its own.
+Equal paragraphs count once in all comparisons. The different lines of a band's bucket
+are compared inside its row if there are up to BUCKET; larger buckets are cut into
+chunks of about CHUNK lines, and a task compares two chunks in one matrix product and
+returns no pairs but a forest that connects what they connect. All pairs of a bucket
+are compared, and none is written out.
 
-A paragraph belongs to the document with the least id that has it or one similar to it;
-the other documents' copies are marked for removal. Components are over documents.
+Similar lines form components. A paragraph belongs to the document with the least id
+that has it or a line of its component; the other documents' copies are marked for
+removal. Components of documents follow from shared paragraphs.
 
 Nulls: a null text has no paragraphs; rows with a null id are returned but not
 compared. Repeated rows each get a row; a passage that only repeats inside one id is no
@@ -26,6 +29,7 @@ from collections import defaultdict
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
@@ -34,7 +38,7 @@ from pyspark.sql import functions as F
 from .common import Scratch
 from .components import components
 
-MIN_WORDS, SHINGLE, SIMILAR, BANDS, ROWS, BUCKET, BLOCK = 25, 5, 0.8, 8, 3, 64, 1_000_000
+MIN_WORDS, SHINGLE, SIMILAR, BANDS, ROWS, BUCKET, CHUNK, BLOCK = 25, 5, (4, 5), 8, 3, 8, 512, 1_000_000
 SENTENCE = re.compile(r"(?<=[.!?])\s+|(\n)")
 U = np.uint64
 _B = U(0x9E3779B97F4A7C15)
@@ -138,31 +142,46 @@ def paragraphs(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> D
     return rows.select(rows[doc_id].cast("long").alias("doc_id"), rows[text].alias("text")).mapInArrow(run, PARAGRAPHS)
 
 
-def _jaccard(a: str, b: str) -> str:
-    return f"size(array_intersect({a}, {b})) >= {SIMILAR} * size(array_union({a}, {b}))"
+def _similar(a: str, b: str) -> str:
+    """SQL: Jaccard similarity of at least 4 / 5; sizes alone decide most."""
+    p, q = SIMILAR
+    return f"({q} * least(size({a}), size({b})) >= {p} * greatest(size({a}), size({b})) AND {q} * size(array_intersect({a}, {b})) >= {p} * size(array_union({a}, {b})))"
+
+
+def _forest(rows: pd.DataFrame) -> pd.DataFrame:
+    """Of lines that share a bucket: each with the first that it is connected to."""
+    content, sets = rows["content"].to_numpy(), rows["shingles"].tolist()
+    size = np.array([len(x) for x in sets])
+    _, word = np.unique(np.concatenate(sets), return_inverse=True)
+    x = np.zeros((len(sets), int(word.max()) + 1), np.float32)
+    x[np.repeat(np.arange(len(sets)), size), word] = 1
+    both = x @ x.T
+    linked = SIMILAR[1] * both >= SIMILAR[0] * (size[:, None] + size[None] - both)
+    label, before = np.arange(len(sets)), None
+    while before is None or (label != before).any():
+        before = label
+        label = np.where(linked, label[None], len(sets)).min(axis=1)
+        label = label[label]
+    on = label != np.arange(len(sets))
+    return pd.DataFrame({"a": content[on], "b": content[label[on]]})
 
 
 def similar_lines(lines: DataFrame, scratch: Scratch) -> DataFrame:
-    """(a, b): verified pairs of different contents. lines: distinct content, with bands and shingles."""
+    """(a, b): edges that connect just what the verified pairs connect. lines: distinct content, with bands and shingles."""
     keys = lines.select("content", F.posexplode("bands").alias("band", "key"))
-    shared = keys.groupBy("band", "key").agg(F.count("*").alias("n"), F.min("content").alias("hub")).where("n > 1")
-    todo = scratch.save(keys.join(shared, ["band", "key"]), "todo-0")
-    sets = lines.select("content", "shingles")
-    pairs, k = None, 0
-    while True:
-        few = todo.where(F.col("n") <= BUCKET).groupBy("band", "key").agg(F.array_sort(F.collect_list("content")).alias("c"))
-        few = few.select(F.explode(F.expr("flatten(transform(c, (x, i) -> transform(slice(c, i + 2, size(c)), y -> struct(x AS a, y AS b))))")).alias("p")).select("p.a", "p.b")
-        many = todo.where((F.col("n") > BUCKET) & (F.col("content") != F.col("hub"))).select("band", "key", F.col("hub").alias("a"), F.col("content").alias("b"))
-        pair = scratch.save(few.unionByName(many.select("a", "b")).distinct(), f"pairs-{k}")
-        left, right = sets.select(F.col("content").alias("a"), F.col("shingles").alias("sa")), sets.select(F.col("content").alias("b"), F.col("shingles").alias("sb"))
-        good = scratch.save(pair.join(left, "a").join(right, "b").where(F.expr(_jaccard("sa", "sb"))).select("a", "b"), f"good-{k}")
-        pairs = good if pairs is None else pairs.unionByName(good)
-        rest = scratch.save(many.join(good, ["a", "b"], "left_anti").select("band", "key", F.col("b").alias("content")), f"rest-{k}")
-        counts = rest.groupBy("band", "key").agg(F.count("*").alias("n"), F.min("content").alias("hub")).where("n > 1")
-        k += 1
-        todo = scratch.save(rest.join(counts, ["band", "key"]), f"todo-{k}")
-        if todo.isEmpty():
-            return pairs.distinct()
+    shared = keys.groupBy("band", "key").agg(F.count("*").alias("n")).where("n > 1")
+    member = scratch.save(keys.join(shared, ["band", "key"]), "members")
+    member = scratch.save(member.join(lines.select("content", "shingles"), "content"), "members-with-shingles")
+    few = member.where(F.col("n") <= BUCKET).groupBy("band", "key").agg(F.collect_list(F.struct("content", "shingles")).alias("c"))
+    pairs = F.expr(f"""flatten(transform(c, (x, i) -> transform(
+        filter(slice(c, i + 2, size(c)), y -> {_similar("x.shingles", "y.shingles")}),
+        y -> struct(x.content AS a, y.content AS b))))""")
+    few = few.select(F.explode(pairs).alias("p")).select("p.a", "p.b")
+    many = member.where(F.col("n") > BUCKET).withColumn("chunks", F.expr(f"(n + {CHUNK - 1}) div {CHUNK}"))
+    many = many.withColumn("own", F.pmod(F.xxhash64("content", "band"), F.col("chunks"))).withColumn("other", F.explode(F.expr("sequence(0L, chunks - 1)")))
+    many = many.select("band", "key", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "content", "shingles")
+    many = many.groupBy("band", "key", "i", "j").applyInPandas(_forest, "a long, b long")
+    return scratch.save(few.unionByName(many).distinct(), "similar")
 
 
 def repeats(docs: DataFrame, scratch: Scratch, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
@@ -172,12 +191,13 @@ def repeats(docs: DataFrame, scratch: Scratch, doc_id: str = "doc_id", text: str
     owner = all_.groupBy("content").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last"))
     lines = all_.where("bands IS NOT NULL").groupBy("content").agg(F.min("doc_id").alias("first"), F.first("bands").alias("bands"), F.first("shingles").alias("shingles"))
     lines = scratch.save(lines, "lines")
-    pairs = scratch.save(similar_lines(lines, scratch), "similar")
-    both = pairs.unionByName(pairs.select(F.col("b").alias("a"), F.col("a").alias("b")))
-    near = both.join(lines.select(F.col("content").alias("b"), F.col("first").alias("other")), "b").groupBy(F.col("a").alias("content")).agg(F.min("other").alias("other"))
-    # A content is kept in one document only if equal or similar ones are elsewhere.
-    owner = owner.join(near, "content", "left").where((F.col("first") < F.col("last")) | (F.col("other") != F.col("first")))
-    owner = scratch.save(owner.select("content", F.least("first", F.coalesce("other", "first")).alias("keeper")), "owners")
+    alike = components(spark, similar_lines(lines, scratch), Scratch(spark, "op10-lines")).withColumnRenamed("node", "content")
+    of = alike.join(owner, "content")
+    clusters = of.groupBy("root").agg(F.min("first").alias("keeper"), F.max("last").alias("final"))
+    of = scratch.save(of.join(clusters, "root").where("keeper < final").select("content", "keeper"), "clusters")
+    # A content is shared if equal or similar ones are in another document.
+    alone = owner.where("first < last").select("content", "first").join(of, "content", "left_anti").withColumnRenamed("first", "keeper")
+    owner = scratch.save(of.unionByName(alone), "owners")
     mine = scratch.save(all_.select("doc_id", "at", "n", "content").join(owner, "content").select("doc_id", "at", "n", "keeper"), "shared")
     edges = mine.where("doc_id <> keeper").select(F.col("doc_id").alias("a"), F.col("keeper").alias("b")).distinct()
     found = components(spark, edges, scratch)
