@@ -38,7 +38,7 @@ from pyspark.sql import functions as F
 from .common import Scratch
 from .components import components
 
-MIN_WORDS, SHINGLE, SIMILAR, BANDS, ROWS, BUCKET, CHUNK, BLOCK = 25, 5, (4, 5), 8, 3, 8, 512, 1_000_000
+MIN_WORDS, SHINGLE, SIMILAR, BANDS, ROWS, BUCKET, CHUNK, BLOCK, BROADCAST = 25, 5, (4, 5), 8, 3, 8, 512, 1_000_000, 500_000
 SENTENCE = re.compile(r"(?<=[.!?])\s+|(\n)")
 U = np.uint64
 _B = U(0x9E3779B97F4A7C15)
@@ -166,12 +166,15 @@ def _forest(rows: pd.DataFrame) -> pd.DataFrame:
     return pd.DataFrame({"a": content[on], "b": content[label[on]]})
 
 
-def similar_lines(lines: DataFrame, scratch: Scratch) -> DataFrame:
-    """(a, b): edges that connect just what the verified pairs connect. lines: distinct content, with bands and shingles."""
+def similar_lines(lines: DataFrame, sets: DataFrame, scratch: Scratch) -> DataFrame:
+    """(a, b): edges that connect just what the verified pairs connect. lines: distinct content, with bands; sets: content and shingles, repeats allowed."""
     keys = lines.select("content", F.posexplode("bands").alias("band", "key"))
     shared = keys.groupBy("band", "key").agg(F.count("*").alias("n")).where("n > 1")
     member = scratch.save(keys.join(shared, ["band", "key"]), "members")
-    member = scratch.save(member.join(lines.select("content", "shingles"), "content"), "members-with-shingles")
+    asked = scratch.save(member.select("content").distinct(), "asked")  # shingle sets are large: only these move
+    near = F.broadcast(asked) if asked.count() <= BROADCAST else asked
+    sets = sets.join(near, "content", "left_semi").groupBy("content").agg(F.first("shingles").alias("shingles"))
+    member = member.join(sets, "content")
     few = member.where(F.col("n") <= BUCKET).groupBy("band", "key").agg(F.collect_list(F.struct("content", "shingles")).alias("c"))
     pairs = F.expr(f"""flatten(transform(c, (x, i) -> transform(
         filter(slice(c, i + 2, size(c)), y -> {_similar("x.shingles", "y.shingles")}),
@@ -189,9 +192,9 @@ def repeats(docs: DataFrame, scratch: Scratch, doc_id: str = "doc_id", text: str
     spark = docs.sparkSession
     all_ = scratch.save(paragraphs(docs, doc_id, text), "paragraphs")
     owner = all_.groupBy("content").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last"))
-    lines = all_.where("bands IS NOT NULL").groupBy("content").agg(F.min("doc_id").alias("first"), F.first("bands").alias("bands"), F.first("shingles").alias("shingles"))
+    lines = all_.where("bands IS NOT NULL").groupBy("content").agg(F.min("doc_id").alias("first"), F.first("bands").alias("bands"))
     lines = scratch.save(lines, "lines")
-    alike = components(spark, similar_lines(lines, scratch), Scratch(spark, "op10-lines")).withColumnRenamed("node", "content")
+    alike = components(spark, similar_lines(lines, all_.where("bands IS NOT NULL").select("content", "shingles"), scratch), Scratch(spark, "op10-lines")).withColumnRenamed("node", "content")
     of = alike.join(owner, "content")
     clusters = of.groupBy("root").agg(F.min("first").alias("keeper"), F.max("last").alias("final"))
     of = scratch.save(of.join(clusters, "root").where("keeper < final").select("content", "keeper"), "clusters")
