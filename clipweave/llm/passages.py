@@ -39,7 +39,7 @@ from .common import Scratch
 from .components import components
 
 MIN_WORDS, SHINGLE, SIMILAR, BANDS, ROWS, BUCKET, CHUNK, BLOCK, BROADCAST = 25, 5, (4, 5), 8, 3, 8, 512, 1_000_000, 500_000
-SENTENCE = re.compile(r"(?<=[.!?])\s+|(\n)")
+SENTENCE = re.compile(r"((?<=[.!?])\s+|\n)")
 U = np.uint64
 _B = U(0x9E3779B97F4A7C15)
 _INV = U(pow(int(_B), -1, 1 << 64))
@@ -69,7 +69,7 @@ class Tokens:
                 at += len(ws)
                 if ws:
                     sentences.append(at)
-                if k + 1 < len(parts) and parts[k + 1] and at > lines[-1]:
+                if k + 1 < len(parts) and "\n" in parts[k + 1] and at > lines[-1]:
                     lines.append(at)
             if at > lines[-1]:
                 lines.append(at)
