@@ -11,7 +11,9 @@ from pyspark.sql import Window as W
 from clipweave.functions import frames as fr
 from clipweave.functions import text as tx
 from clipweave.functions.interpret import interpreted
-from clipweave.operators import evaluate, redundancy, segmentation, selection, state
+from clipweave.operators import evaluate, redundancy, segmentation, selection, state, visual
+from clipweave.plans import summary
+from clipweave.sources.shared import keeper
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -420,3 +422,25 @@ def chronological_summary(spark, d):
     made = redundancy_clusters(spark, d).join(_segments(spark, d), ["video_index", "segment_index"])
     first = made.groupBy("cluster_id").agg(F.min(F.struct("video_index", "segment_index", "start")).alias("m")).select("m.*").distinct()
     return selection.chronology(first, made)
+
+
+@_query()
+def keyframes(spark, d):
+    e = _table(spark, d, "embeddings")
+    return visual.keyframes(e.select(F.col("label").cast("long").alias("segment"), (F.col("vec_id") % 7).alias("frame"), F.col("vec_id").alias("kp"), F.col("embedding").alias("vec")))
+
+
+@_query()
+def visual_vocabulary(spark, d):
+    e = _table(spark, d, "embeddings").select("vec_id", F.col("embedding").alias("vec"))
+    return visual.visual_vocabulary(e, 20).select("vec_id", "word")
+
+
+@_query()
+def flagship_summary(spark, d):
+    seg = _segments(spark, d)
+    ends = seg.groupBy(F.col("video_index").alias("video")).agg(F.ceil(F.min("end")).cast("long").alias("second"))
+    flags = seg.select("video_index", "segment_index", (F.col("segment_index") == 2).alias("has_object"), F.col("content").contains("a").alias("subjective"))
+    words = seg.select("video_index", "segment_index", F.explode(F.split("content", " ")).alias("word"))
+    out, _ = summary.summarize(seg, [summary.introduction(ends), summary.subjectivity(flags), summary.content_redundancy(0.3), summary.quality(words), summary.chronology()], keeper(spark))
+    return out.select("pos", "video_index", "segment_index")

@@ -115,3 +115,27 @@ def test_answers_read():
     assert interpret("{'q': None, 'r': True}", "answers", answer_ids=["q", "r"]) == {"q": None, "r": True}
     assert interpret('{"items": ["x"]}', "string_list") == ["x"]
     assert interpret("ab12cd", "pattern", pattern=r"\d+") == "12"
+
+
+def test_keyframes_need_new_matches(spark):
+    from clipweave.operators.visual import keyframes
+
+    vec = {0: [1.0, 0.0], 1: [0.0, 1.0]}
+    rows = [(0, f, 0, vec[v]) for f, v in enumerate([0, 0, 0, 1, 1])]
+    assert rows_of(keyframes(spark.createDataFrame(rows, "segment long, frame long, kp long, vec array<double>"))) == [1, 3]
+
+
+def rows_of(df):
+    return sorted(r.frame for r in df.collect())
+
+
+def test_summary_puts_out_the_shortest_introduction_and_winners(spark):
+    from clipweave.plans import summary
+
+    texts = ["hello there", "big storm hits the coast today", "filler words only", "welcome to the news", "big storm hits coast today", "other matter"]
+    seg = spark.createDataFrame([(k // 3, k % 3, t, 10.0 * (k % 3), 10.0 * (k % 3) + 9) for k, t in enumerate(texts)], "video_index long, segment_index long, content string, start double, end double")
+    ends = spark.createDataFrame([(0, 9), (1, 12)], "video long, second long")
+    words = spark.createDataFrame([(0, 1, "a"), (1, 1, "a"), (1, 1, "b")], "video_index long, segment_index long, word string")
+    out, log = summary.summarize(seg, [summary.introduction(ends), summary.content_redundancy(0.3), summary.quality(words), summary.chronology()])
+    assert [(r.video_index, r.segment_index) for r in out.orderBy("pos").collect()] == [(0, 0), (1, 1)]
+    assert {r.agent for r in log.select("agent").distinct().collect()} == {"Introduction", "ContentRedundancy", "Quality", "Chronology"}

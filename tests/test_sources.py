@@ -6,7 +6,8 @@ import json
 import pytest
 from pyspark.sql import functions as F
 
-from clipweave.functions.align import Mismatch, align, aligned
+from clipweave.functions.align import Mismatch, align, aligned, typed_words
+from clipweave.functions.prompts import Prompts, answer_schema
 from clipweave.sources import datasets, providers
 from clipweave.streaming.sessions import sessions
 
@@ -93,3 +94,19 @@ def test_configuration():
 def test_sessions(spark):
     t = spark.createDataFrame([(1, "2024-01-01 00:00:00"), (1, "2024-01-01 00:30:00"), (1, "2024-01-01 05:00:00")], "video long, ts string").select("video", F.col("ts").cast("timestamp").alias("ts"))
     assert sorted(r.n_words for r in sessions(t).collect()) == [1, 2]
+
+
+def test_typed_words():
+    w = lambda t, a, b: {"type": "word", "text": t, "start": a, "end": b}
+    words, events = typed_words([w("¿", 0, 0), w("Qué", 0, 1), {"type": "spacing", "text": " "}, w("?", 1, 1), {"type": "audio_event", "text": "(laughs)"}, w("Sí", 1, 2)])
+    assert [t for t, *_ in words] == ["¿Qué?", "Sí"] and events == [("(laughs)", 1)]
+    for bad in ([w("a b", 0, 1)], [w("a", 2, 1)], [w("a", 1, 2), w("b", 1, 3)], [{"type": "spacing", "text": "x"}], [{"type": "other", "text": "x"}], [w("a", True, 2)]):
+        with pytest.raises(Mismatch):
+            typed_words(bad)
+
+
+def test_prompts_and_schemas():
+    assert "{content}" in Prompts().classify
+    with pytest.raises(ValueError):
+        Prompts(classify="{content}")
+    assert answer_schema("topic", ["0"])["properties"]["id"]["enum"] == ["0"] and answer_schema("text") is None
