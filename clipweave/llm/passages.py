@@ -1,9 +1,10 @@
 """Passages that repeat across documents, by MinHash banding of paragraphs.
 
 Paragraphs are of two kinds, both of MIN_WORDS words or more: whole lines, and, as
-passages are also set into longer lines, windows that start at a sentence and end with
-the first sentence that makes them long enough. Windows are compared for equality.
-Lines get a MinHash signature over their 5-word shingles, in BANDS bands of ROWS values,
+passages are also set into longer lines, windows. These start at a sentence and end with
+the first sentence that makes them long enough; others, of MIN_WORDS words each, are
+chosen by winnowing, so that any RUN words that two documents share hold one, wherever
+their sentences end. Windows are compared for equality. Lines get a MinHash signature over their 5-word shingles, in BANDS bands of ROWS values,
 which finds a pair of Jaccard similarity 0.8 with probability 0.997; lines that share a
 band are candidates, and the Jaccard similarity of their shingle sets decides.
 
@@ -38,7 +39,7 @@ from pyspark.sql import functions as F
 from .common import Scratch
 from .components import components
 
-MIN_WORDS, SHINGLE, SIMILAR, BANDS, ROWS, BUCKET, CHUNK, BLOCK, BROADCAST = 25, 5, (4, 5), 8, 3, 8, 512, 1_000_000, 500_000
+MIN_WORDS, RUN, SHINGLE, SIMILAR, BANDS, ROWS, BUCKET, CHUNK, BLOCK, BROADCAST = 25, 50, 5, (4, 5), 8, 3, 8, 512, 1_000_000, 500_000
 SENTENCE = re.compile(r"((?<=[.!?])\s+|\n)")
 U = np.uint64
 _B = U(0x9E3779B97F4A7C15)
@@ -85,6 +86,33 @@ class Tokens:
         return _mix((self.sums[b] - self.sums[a]) * self.undo[a] + (b - a).astype(U))
 
 
+def _winnowed(t: Tokens) -> tuple[np.ndarray, np.ndarray]:
+    """Windows (from, to): of any RUN - MIN_WORDS + 1 starts in a row, the one with the least hash. One word repeated makes one window, of RUN words."""
+    n = len(t.sums) - MIN_WORDS
+    if n <= 0:
+        return np.zeros(0, np.int64), np.zeros(0, np.int64)
+    a = np.arange(n)
+    h = t.hash(a, a + MIN_WORDS)
+    within = np.ones(n, bool)
+    for end in t.docs[1:-1]:
+        within[max(end - MIN_WORDS + 1, 0) : end] = False  # these reach into the next text
+    again = np.concatenate([[False], h[1:] == h[:-1]])
+    alike = np.concatenate([[0], np.cumsum(again & within)])
+    first = np.nonzero(~again & within)[0]
+    first = first[alike[np.minimum(first + RUN - MIN_WORDS + 1, n)] - alike[first] == RUN - MIN_WORDS]
+    none, low = U(np.iinfo(U).max), U((1 << n.bit_length()) - 1)
+    single = ~again & ~np.append(again[1:], False)
+    key = np.where(within & single, (h & ~low) | a.astype(U), none)  # the place breaks ties
+    width = RUN - MIN_WORDS + 1
+    least, size = np.append(key, np.full(width - 1, none)), 1
+    while 2 * size <= width:
+        least, size = np.minimum(least[:-size], least[size:]), 2 * size
+    if size < width:
+        least = np.minimum(least[: size - width], least[width - size :])
+    a = np.unique(least[least != none] & low).astype(np.int64)
+    return np.concatenate([a, first]), np.concatenate([a + MIN_WORDS, first + RUN])
+
+
 def _paragraphs(ids: np.ndarray, texts: list[str]) -> Iterator[pa.RecordBatch]:
     t = Tokens(texts)
     kinds = [pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.list_(pa.int64()), pa.list_(pa.int32())]
@@ -101,6 +129,8 @@ def _paragraphs(ids: np.ndarray, texts: list[str]) -> Iterator[pa.RecordBatch]:
     a, b, own = a[ok], t.sentences[to[ok]], own[ok]
     ok = b <= t.docs[own]
     a, b = a[ok], b[ok]
+    more = _winnowed(t)
+    a, b = np.concatenate([a, more[0]]), np.concatenate([b, more[1]])
     if len(a):
         yield batch(a, b, t.hash(a, b), pa.nulls(len(a), kinds[4]), pa.nulls(len(a), kinds[5]))
     a, b = t.lines[:-1], t.lines[1:]

@@ -308,6 +308,23 @@ def test_passages(spark):
     assert passages.repeats(docs.limit(0), Scratch(spark, "t")).count() == 0
 
 
+@pytest.mark.parametrize("run", ["many", "ab", "a"])
+def test_any_run_of_fifty_words_holds_a_window(run):
+    rng = np.random.default_rng(8)
+    words = lambda n: [f"w{i}" for i in rng.integers(0, 500, n)]
+    for _ in range(60):
+        inner = words(passages.RUN) if run == "many" else (list(run) * passages.RUN)[: passages.RUN]
+        texts = [" ".join(words(int(rng.integers(0, 60))) + inner + words(int(rng.integers(0, 60)))) for _ in range(3)]
+        t = passages.Tokens(texts)
+        a, b = passages._winnowed(t)
+        own = np.searchsorted(t.docs, a, side="right") - 1
+        assert (b <= t.docs[own + 1]).all()
+        found = [set(t.hash(a, b)[own == k]) for k in range(3)]
+        assert found[0] & found[1] and found[1] & found[2] and found[0] & found[2]
+    for texts in ([""], ["a b"], ["", " ".join(["a"] * 49), ""]):
+        assert not len(passages._winnowed(passages.Tokens(texts))[0])
+
+
 def test_large_buckets_connect_like_all_pairs(spark, monkeypatch):
     monkeypatch.setattr(passages, "CHUNK", 8)
     rng = np.random.default_rng(2)
