@@ -56,6 +56,30 @@ def op2_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", *[count(k) for k in secrets.KINDS], F.sha2(spans, 256).alias("base_sha256"), spans.alias("spans"))
 
 
+def _found_sql(k: int, pattern: str, keep: str = "true") -> str:
+    """The spans of one kind: a match begins after all gaps up to it and all matches before it."""
+    return f"""SELECT rid, {k} AS k, upto - length(hit) AS a, upto AS b FROM (
+    SELECT rid, hit, sum(length(gap) + length(hit)) OVER (PARTITION BY rid ORDER BY i) AS upto
+    FROM (SELECT rid, unnest(hits) AS hit, unnest(gaps[1:len(hits)]) AS gap, unnest(range(len(hits))) AS i
+      FROM (SELECT rid, string_split_regex(t, '{pattern}') AS gaps, regexp_extract_all(t, '{pattern}') AS hits FROM d))) WHERE {keep}"""
+
+
+_NAME = "(?:" + "|".join("".join(f"[{c}{c.upper()}]" if c.isalpha() else c for c in name) for name in ("password", "passwd", "secret", "token", "api_?key")) + ")"
+_ASSIGN = _NAME + r"""["'']?\x20*[:=]\x20*["'']?"""
+OP2_SQL = f"""
+WITH d AS (SELECT row_number() OVER () AS rid, doc_id, coalesce(text, '') AS t FROM documents), f AS (
+  {_found_sql(0, _ASSIGN + "[A-Za-z0-9+/_.=-]+", f"length(regexp_extract(hit, '^{_ASSIGN}([A-Za-z0-9+/_.=-]+)$', 1)) >= {secrets.MIN_VALUE}")}
+  UNION ALL {_found_sql(1, f"AKIA[A-Z0-9]{{{secrets.MIN_ACCESS - 4},}}")}
+  UNION ALL {_found_sql(2, f"[0-9a-f]{{{secrets.MIN_HEX},}}")}
+), g AS (
+  SELECT rid, count(*) FILTER (k = 0) AS n0, count(*) FILTER (k = 1) AS n1, count(*) FILTER (k = 2) AS n2,
+    string_agg({list(secrets.KINDS)}[k + 1] || ':' || CAST(a AS BIGINT) || ':' || CAST(b AS BIGINT), ',' ORDER BY a, k) AS spans FROM f GROUP BY rid
+)
+SELECT doc_id, coalesce(n0, 0) AS n_assign, coalesce(n1, 0) AS n_access, coalesce(n2, 0) AS n_hex, sha256(coalesce(spans, '')) AS base_sha256, coalesce(spans, '') AS spans
+FROM d LEFT JOIN g USING (rid)
+"""
+
+
 def op3_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     scratch = Scratch(spark, "op3")
     return warc.read(spark, warc.write(table(spark, sf_dir, "pages"), scratch), scratch)
@@ -134,4 +158,4 @@ QUERIES: dict[str, Query] = {
     "op9_quality": op9_quality,
     "op10_passages": op10_passages,
 }
-SQL: dict[str, str] = {"op1_decontamination": OP1_SQL, "op3_warc": OP3_SQL, "op4_topk": OP4_SQL}
+SQL: dict[str, str] = {"op1_decontamination": OP1_SQL, "op2_secrets": OP2_SQL, "op3_warc": OP3_SQL, "op4_topk": OP4_SQL}

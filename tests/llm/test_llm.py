@@ -382,6 +382,47 @@ def test_pipeline_stages(spark):
         assert not brute_hits(r.text, items)[1] and not secrets.find(r.text)
 
 
+def test_pipeline_equals_brute_force(spark):
+    import corpus_pipeline
+
+    docs = pandas(spark, "documents")
+    held = [zlib.crc32(str(i).encode()) % 4 == 2 for i in docs.doc_id]
+    learned = table(spark, DATA, "documents").where(F.col("doc_id").isin(docs.doc_id[~np.array(held)].tolist()))
+    model = quality.fit(learned, table(spark, DATA, "labels"))
+    kept = {i: t for i, t in zip(docs.doc_id.tolist(), docs.text) if model.score(quality.features(t)[None])[0] >= quality.CUT}
+    ids, fps = sorted(kept), {i: brute_fingerprint(t) for i, t in kept.items()}
+    least = {i: i for i in ids}
+    changed = True
+    while changed:
+        new = {i: min(least[j] for j in ids if (fps[i] ^ fps[j]).bit_count() <= 2) for i in ids}
+        changed, least = new != least, new
+    items = [(r.item_id, r.text) for r in table(spark, DATA, "benchmark").collect()]
+    want = {}
+    for i in ids:
+        if least[i] == i:
+            n, hit, _ = brute_hits(kept[i], items)
+            if not hit or 20 * len(hit) < n:
+                pieces = re.findall(f"{decontaminate.PIECE}|{decontaminate.TAIL}", kept[i])
+                text = "".join(p for k, p in enumerate(pieces) if k not in hit) if hit else kept[i]
+                want[i] = secrets.redact(text, [{"start": a, "end": b} for _, a, b in secrets.find(text)])
+    source = dict(zip(docs.doc_id.tolist(), docs.source))
+    sizes = {i: len(re.findall(r"[^\x20\x09-\x0D]+", t)) for i, t in want.items()}
+    total = Counter()
+    for i in want:
+        total[source[i]] += sizes[i]
+    goal = dict(zip(sorted(total), mixing.targets([total[s] for s in sorted(total)])))
+    got = corpus_pipeline.run(spark, DATA).collect()
+    assert len({(r.doc_id, r.copy) for r in got}) == len(got) and max(r.copy for r in got) < 2
+    assert all(r.text == want[r.doc_id] and r.n_chars == len(r.text) for r in got)
+    taken = Counter()
+    for r in got:
+        taken[r.source] += sizes[r.doc_id]
+    smallest = {s: min((sizes[i] for i in want if source[i] == s and sizes[i]), default=0) for s in goal}
+    largest = {s: max((sizes[i] for i in want if source[i] == s), default=0) for s in goal}
+    for s, g in goal.items():
+        assert smallest[s] - largest[s] <= taken[s] - g <= smallest[s]
+
+
 def test_pipeline_on_odd_rows(spark):
     import corpus_pipeline
 
