@@ -40,6 +40,11 @@ def words(lowered: Column) -> Column:
     return F.slice(parts, lead + 1, F.size(parts) - lead - trail)
 
 
+def _folded(text: Column) -> Column:
+    """Lower case of all letters. Lower-casing a final sigma depends on what follows the word, so both forms are made one."""
+    return F.replace(F.lower(text), F.lit("ς"), F.lit("σ"))
+
+
 def _windows(benchmark: DataFrame, item: str, text: str) -> DataFrame:
     """(w, n, items): each window's words with blanks between, its length, the items that have it."""
     ws = benchmark.select(F.col(item).cast("string").alias("item"), words(ascii_lower(F.col(text))).alias("ws")).where(F.size("ws") > 0)
@@ -50,7 +55,7 @@ def _windows(benchmark: DataFrame, item: str, text: str) -> DataFrame:
 
 def _seeds(windows: DataFrame) -> dict[int, list[int]] | None:
     """By window length, the hashes of all runs of min(n, SEED) words; None if there are more than MAX_SEEDS."""
-    ws = windows.select("n", F.split(F.lower("w"), " ").alias("ws"), F.least("n", F.lit(SEED)).alias("k"))
+    ws = windows.select("n", F.split(_folded(F.col("w")), " ").alias("ws"), F.least("n", F.lit(SEED)).alias("k"))
     runs = F.transform(F.sequence(F.lit(1), F.col("n") - F.col("k") + 1), lambda i: F.xxhash64(F.slice("ws", i, F.col("k"))))
     rows = ws.select("n", F.explode(runs).alias("h")).distinct().limit(MAX_SEEDS + 1).collect()
     if len(rows) > MAX_SEEDS:
@@ -88,7 +93,7 @@ def scan(docs: DataFrame, benchmark: DataFrame, scratch: Scratch, text: str = "t
     base = docs.drop("n_words", "hits", "items")
     base = base.select(F.struct(*[base[c] for c in (base.columns if keep is None else keep)]).alias("row"), base[text].alias("text"))
     # Lower-casing of all letters only joins words that A-Z lower-casing keeps apart, and is faster.
-    base = base.withColumn("parts", words(F.lower("text")))
+    base = base.withColumn("parts", words(_folded(F.col("text"))))
     may = F.lit(True) if seeds is None else _may_hit(seeds)
     # Written, so that texts are split once and a row keeps its number.
     base = base.select("row", "text", F.monotonically_increasing_id().alias("rid"), F.col("parts").alias("ws"))

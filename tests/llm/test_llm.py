@@ -66,6 +66,13 @@ def test_decontamination(spark):
     assert decontaminate.scan(docs, spark.createDataFrame([], "item_id long, text string"), Scratch(spark, "t")).where(F.size("hits") > 0).count() == 0
 
 
+def test_decontamination_of_letters_beyond_ascii(spark):
+    items = [(1, "ΟΔΟΣ"), (2, "straße İST \u212Aelvin"), (3, "Éa éb")]
+    rows = [(k, t, "a") for k, t in enumerate(["ΟΔΟΣ'Α x", "ΟΔΟΣ", "οδος", "STRAßE İst \u212AELVIN", "straße ist kelvin", "éa éb, ÉA éb", "Éa;éb"])]
+    got = decontaminate.scan(documents(spark, rows), spark.createDataFrame(items, "item_id long, text string"), Scratch(spark, "t")).collect()
+    assert {r.doc_id: (r.n_words, set(r.hits), r["items"]) for r in got} == {i: brute_hits(t, items) for i, t, _ in rows}
+
+
 def test_lesser_hits_are_cut_out(spark):
     item = " ".join(f"w{i}" for i in range(13))
     docs = documents(spark, [(1, "z, " * 400 + item + "; end.", "a")])
