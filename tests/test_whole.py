@@ -1,0 +1,26 @@
+"""Queries over whole tables against brute force, and rows that once were lost."""
+
+import os
+
+import pytest
+
+from clipweave.plans import catalog
+
+DATA = "/root/testdata/sf0.001"
+needs_tables = pytest.mark.skipif(not os.path.isdir(DATA), reason="no tables")
+
+
+@needs_tables
+def test_every_event_is_a_decision(spark):
+    actions = {"click": "include", "error": "discard", "purchase": "output"}
+    state = {}
+    for r in spark.read.parquet(f"{DATA}/events.parquet").orderBy("ts", "event_id").collect():
+        last, out = state.get(r.user_id, (None, False))
+        action = actions.get(r.event_type)
+        if action and not (out and action != "include"):
+            state[r.user_id] = (action, out or action == "output")
+    want = sorted((s, last == "include", last == "discard", out) for s, (last, out) in state.items())
+    got = catalog.QUERIES["decision_state"](spark, DATA).collect()
+    assert sorted((r.segment, r.included, r.discarded, r.outputted) for r in got) == want
+    done = [s for s, _, _, out in want if out] or [s for s, included, _, _ in want if included]
+    assert sorted(r.segment for r in catalog.QUERIES["finalized_output"](spark, DATA).collect()) == done
