@@ -391,7 +391,7 @@ def interpreted_answers(spark, d):
 p AS (SELECT a.grp * 2 AS fa, b.grp * 2 + 1 AS fb, a.kp AS ka, b.kp AS kb, round(list_sum(list_transform(list_zip(a.embedding, b.embedding), lambda z: z[1]::DOUBLE * z[2]::DOUBLE)), 9) AS s FROM e a JOIN e b ON a.grp = b.grp AND a.frame = 0 AND b.frame = 1)
 SELECT fa, fb, count(*) AS matches FROM (SELECT *, row_number() OVER (PARTITION BY fa, ka, fb ORDER BY s DESC, kb) AS ra, row_number() OVER (PARTITION BY fa, fb, kb ORDER BY s DESC, ka) AS rb FROM p) WHERE ra = 1 AND rb = 1 AND s >= 0.5 GROUP BY fa, fb""")
 def mutual_neighbours(spark, d):
-    e = _table(spark, d, "embeddings").where("vec_id < 400").select(F.col("label").alias("group"), (F.col("vec_id") % 2).alias("side"), F.col("vec_id").alias("kp"), F.col("embedding").alias("vec"))
+    e = _table(spark, d, "embeddings").select(F.col("label").alias("group"), (F.col("vec_id") % 2).alias("side"), F.col("vec_id").alias("kp"), F.col("embedding").alias("vec"))
     side = lambda k: e.where(F.col("side") == k).withColumn("frame", F.col("group") * 2 + k)
     return selection.mutual_matches(side(0), side(1), 0.5)
 

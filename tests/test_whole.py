@@ -2,8 +2,11 @@
 
 import os
 
+import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
+from clipweave.operators import selection
 from clipweave.plans import catalog
 
 DATA = "/root/testdata/sf0.001"
@@ -24,3 +27,38 @@ def test_every_event_is_a_decision(spark):
     assert sorted((r.segment, r.included, r.discarded, r.outputted) for r in got) == want
     done = [s for s, _, _, out in want if out] or [s for s, included, _, _ in want if included]
     assert sorted(r.segment for r in catalog.QUERIES["finalized_output"](spark, DATA).collect()) == done
+
+
+def brute_matches(rows, threshold):
+    """rows: group, side, kp, vector."""
+    out = {}
+    for g in {r[0] for r in rows}:
+        a, b = ([(k, np.array(v, float)) for h, s, k, v in sorted(rows, key=lambda r: r[2]) if (h, s) == (g, side)] for side in (0, 1))
+        if a and b:
+            s = [[round(float(x @ y), 9) for _, y in b] for _, x in a]
+            there = [max(range(len(b)), key=lambda j: s[i][j]) for i in range(len(a))]  # the first of equals
+            back = [max(range(len(a)), key=lambda i: s[i][j]) for j in range(len(b))]
+            n = sum(back[j] == i and s[i][j] >= threshold for i, j in enumerate(there))
+            if n:
+                out[2 * g, 2 * g + 1] = n
+    return out
+
+
+@needs_tables
+@pytest.mark.parametrize("block", [7, 512])
+def test_every_embedding_is_matched(spark, monkeypatch, block):
+    monkeypatch.setattr(selection, "BLOCK", block, raising=False)
+    rows = [(r.label, r.vec_id % 2, r.vec_id, r.embedding) for r in spark.read.parquet(f"{DATA}/embeddings.parquet").collect()]
+    got = catalog.QUERIES["mutual_neighbours"](spark, DATA).collect()
+    assert {(r.fa, r.fb): r.matches for r in got} == brute_matches(rows, 0.5)
+
+
+@pytest.mark.parametrize("block", [2, 512])
+def test_matches_with_ties_and_nulls(spark, monkeypatch, block):
+    monkeypatch.setattr(selection, "BLOCK", block, raising=False)
+    rng = np.random.default_rng(0)
+    rows = [(g, s, 100 * g + k, rng.integers(-1, 2, 3).astype(float).tolist()) for g in range(3) for k, s in enumerate(rng.integers(0, 2, 20).tolist())]
+    odd = [(0, 0, 900, None), (0, 1, 901, [1.0, None, 1.0]), (None, 0, 902, [1.0, 1.0, 1.0]), (7, 0, 903, [1.0, 1.0, 1.0])]
+    df = spark.createDataFrame(rows + odd, "group long, side long, kp long, vec array<double>").withColumn("frame", F.col("group") * 2 + F.col("side"))
+    got = selection.mutual_matches(df.where("side = 0"), df.where("side = 1"), 0.5).collect()
+    assert {(r.fa, r.fb): r.matches for r in got} == brute_matches(rows, 0.5)
