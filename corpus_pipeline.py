@@ -24,12 +24,13 @@ def good_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 
 def one_of_a_kind(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near copies the document with the least id stays; of groups without ids, one row."""
-    scratch = Scratch(spark, "near")
-    found = simhash.classes(docs, scratch)
-    kept = found.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select("component_id").distinct()
-    rows = docs.join(kept, docs["doc_id"].eqNullSafe(kept["component_id"]), "left_semi")
-    return rows.where("doc_id IS NOT NULL").dropDuplicates(["doc_id"]).unionByName(rows.where("doc_id IS NULL").dropDuplicates(["text"]))
+    """Of each group of near copies one row stays: of those with the least id, or without ids, one of the least digest of its text."""
+    # tells texts apart where ids repeat or are null; rows with equal keys are copies of one text
+    key = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", F.unhex(F.sha2("text", 256)).alias("digest"))
+    rows = docs.withColumn("__key", key)
+    found = simhash.classes(rows, Scratch(spark, "near"), doc_id="__key")
+    kept = found.where(F.col("doc_id") == F.col("component_id")).select(F.col("component_id").alias("__key")).distinct()
+    return rows.join(kept, "__key", "left_semi").dropDuplicates(["__key"]).select(*docs.columns)
 
 
 def no_benchmarks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
