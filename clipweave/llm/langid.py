@@ -27,10 +27,12 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import Window as W
 
 from .common import widened
 
 ORDER, MAX_ROWS, PIECE, REJECT = 4, 400, 1 << 20, 0.995
+TOP = (1 << 63) - 1  # the largest hash that a draw compares
 U = np.uint64
 _P, _Q = U(0x9E3779B97F4A7C15), U(0xBF58476D1CE4E5B9)  # odd multipliers of a well-known mixer
 
@@ -212,19 +214,18 @@ def _lower(model: Model, order: int, ending: np.ndarray) -> np.ndarray:
 
 
 def fit(docs: DataFrame, text: str = "text", lang: str = "lang", doc_id: str = "doc_id", max_rows: int = MAX_ROWS) -> Model:
-    """From about max_rows rows a language, drawn by a hash; a fifth of them calibrate."""
+    """From about max_rows rows a language, drawn by a hash, one at least; a fifth of them calibrate, unless a language has no others."""
     rows = docs.where(docs[lang].isNotNull() & docs[text].isNotNull())
-    counts = {r[0]: r[1] for r in rows.groupBy(rows[lang]).count().collect()}
+    rows = rows.select(rows[lang].alias("lang"), rows[text].alias("text"), F.xxhash64(F.lit(1), rows[doc_id]).bitwiseAND(F.lit(TOP)).alias("draw"), (F.pmod(F.xxhash64(F.lit(2), rows[doc_id]), F.lit(5)) == 0).alias("held"))
+    counts = rows.groupBy("lang").agg(F.count("*").alias("n"), F.min("draw").alias("least")).collect()
     if not counts:
         return Model([])
-    share = F.create_map(*[F.lit(x) for k, n in counts.items() for x in (k, int(max_rows / n * (1 << 20)))])
-    draw = F.pmod(F.xxhash64(F.lit(1), rows[doc_id]), F.lit(1 << 20)) < share[rows[lang]]
-    picked = rows.where(draw).select(rows[lang].alias("lang"), rows[text].alias("text"), (F.pmod(F.xxhash64(F.lit(2), rows[doc_id]), F.lit(5)) == 0).alias("held"))
-    picked = picked.limit(4 * max_rows * len(counts)).toPandas()
-    main = picked[~picked["held"]]
-    model = train({k: g["text"].tolist() for k, g in (main if len(main) else picked).groupby("lang")})
-    test = picked[picked["lang"].isin(model.langs)]
-    test = test[test["held"]] if test["held"].any() else test
+    share = F.create_map(*[F.lit(x) for r in counts for x in (r.lang, max(min(max_rows * (TOP + 1) // r.n, TOP), r.least))])
+    rank = F.row_number().over(W.partitionBy("lang").orderBy("draw"))  # bounds what repeated ids draw at once
+    picked = rows.where(F.col("draw") <= share[F.col("lang")]).withColumn("rank", rank).where(F.col("rank") <= 4 * max_rows).toPandas()
+    picked["held"] &= picked["lang"].isin(picked.loc[~picked["held"], "lang"])
+    model = train({k: g["text"].tolist() for k, g in picked[~picked["held"]].groupby("lang")})
+    test = picked[picked["held"]] if picked["held"].any() else picked
     h, n = model.entropies(test["text"].tolist())
     want = np.array([model.langs.index(x) for x in test["lang"]])
     losses = {}
