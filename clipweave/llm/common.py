@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import string
 import tempfile
 import uuid
@@ -31,6 +32,14 @@ def remainder_is(doc_id: Column, modulus: int, remainder: int) -> Column:
 KINDS = {"string": T.StringType(), "double": T.DoubleType(), "long": T.LongType(), "int": T.IntegerType(), "boolean": T.BooleanType()}
 
 
+def unused(df: DataFrame, name: str) -> str:
+    """The name, lengthened until no column of df has it in any case."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
 def widened(df: DataFrame, **more: str) -> T.StructType:
     """The schema with further columns."""
     return T.StructType([*df.schema.fields, *(T.StructField(k, KINDS[v]) for k, v in more.items())])
@@ -41,12 +50,15 @@ class Scratch:
 
     A written table cuts the lineage: an executor that is lost later costs no
     recomputation. The folder is the one in spark.checkpoint.dir; only where that
-    is unset (tests on one machine) a temporary one is made and set.
+    is unset and Spark runs in one process (tests) a temporary one is made and set.
+    A folder of one machine would lose tables on a cluster, so there it is an error.
     """
 
     def __init__(self, spark: SparkSession, name: str):
         base = spark.conf.get("spark.checkpoint.dir", None)
         if not base:
+            if not re.match(r"local(\[|$)", spark.conf.get("spark.master", "")):
+                raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
             base = tempfile.mkdtemp(prefix="clipweave-")
             spark.conf.set("spark.checkpoint.dir", base)
         self.spark = spark
