@@ -1,12 +1,19 @@
-"""Connected components by alternating large-star and small-star rounds.
+"""Connected components by alternating large-star and small-star rounds, until nothing changes.
 
-Each round is a minimum per node (combined before the shuffle) and one join with
-that one-row-per-node table, so a hub's edges can be split over tasks. No list of
-neighbours is ever gathered. Rounds are written to shared storage.
+Edges point from the larger node to the smaller. A round takes each node's least smaller
+neighbour (combined before the shuffle), writes that table of a row a node, and joins
+it: once by the smaller end (large star), once by the larger (small star). The least
+node of a star has no smaller neighbour and thus no row to join. As both sides of a join
+are read from storage, Spark splits the edges of a hub over tasks where they are many
+(its handling of skewed joins), and broadcasts the other side only where that is small.
+No list of neighbours is ever gathered. Rounds are written to shared storage, and the
+tables of the round before are dropped.
 """
 
 from __future__ import annotations
 
+from itertools import count
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -20,20 +27,27 @@ def components(spark: SparkSession, edges: DataFrame, scratch: Scratch) -> DataF
     and loops allowed. Nodes without an edge are absent from the result.
     """
     a, b = F.col("a"), F.col("b")
+
+    def least(of: DataFrame, name: str) -> DataFrame:
+        return scratch.save(of.groupBy(a.alias("node")).agg(F.min("b").alias("m")), name)
+
     now = edges.where(a != b).select(F.greatest(a, b).alias("a"), F.least(a, b).alias("b")).distinct()
     now = scratch.save(now, "edges-0")
     before = None
-    for k in range(1, 200):
+    for k in count(1):
+        # ends when a round changes nothing; each round lowers some node's neighbour, so there is a last one
         state = now.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
         if state == before or state[0] == 0:
             break
         before = state
-        both = now.unionByName(now.select(b.alias("a"), a.alias("b")))
-        least = both.groupBy("a").agg(F.least(F.min("b"), F.first("a")).alias("m"))
-        large = both.where(b > a).join(least, "a").select(b.alias("a"), F.col("m").alias("b")).where(a != b).distinct()
-        least = large.groupBy("a").agg(F.min("b").alias("m"))
-        small = large.join(least, "a").select(b.alias("a"), F.col("m").alias("b")).where(a != b)
-        small = small.unionByName(least.select("a", F.col("m").alias("b"))).distinct()
+        m = least(now, f"least-{k}a")
+        large = now.join(m, b == F.col("node"), "left").select("a", F.coalesce("m", "b").alias("b")).distinct()
+        large = scratch.save(large, f"large-{k}")
+        m = least(large, f"least-{k}b")
+        small = large.join(m, a == F.col("node")).select(b.alias("a"), F.col("m").alias("b")).where(a != b)
+        small = small.unionByName(m.select(F.col("node").alias("a"), F.col("m").alias("b"))).distinct()
         now = scratch.save(small, f"edges-{k}")
-        scratch.drop(f"edges-{k - 1}")
-    return now.select(a.alias("node"), b.alias("root")).unionByName(now.select(b.alias("node"), b.alias("root"))).distinct()
+        for old in (f"edges-{k - 1}", f"least-{k}a", f"least-{k}b", f"large-{k}"):
+            scratch.drop(old)
+    roots = now.select(b.alias("node")).distinct()
+    return now.select(a.alias("node"), b.alias("root")).unionByName(roots.select("node", F.col("node").alias("root")))
