@@ -10,10 +10,16 @@ agree. Each of the ten ways to choose three is a key, made of pivot distances on
 
 Fingerprints that share a key are candidates; pairs whose largest coordinate
 difference exceeds the limit go, survivors are verified. Distinct fingerprints are
-compared, whatever their number of copies. A key that more than BLOCK fingerprints
-share would give too many pairs: all of its fingerprints instead meet, exactly, in
-the fingerprints at distance up to 1 around them (two are within 2 if and only if
-they have such a neighbour in common), 65 rows each and linked through a minimum.
+compared, whatever their number of copies.
+
+A key that more than BLOCK fingerprints share is divided by the next pivot table: its
+pivots are masks that pair the bits otherwise, with keys made in the same way, and pairs
+within the limit agree on one of those too. TABLES has three pairings, so a key that
+stays crowded fixes most counts of all three, and its fingerprints crowd around each
+other. Pivots are then taken around the data: every fingerprint at distance 0 or 1 from
+one of them is a pivot, and two of them are within 2 if and only if both are within 1
+of the same pivot: 65 rows each, linked through a minimum. So no step emits the pairs of
+a large group, whatever its size, and none drops any.
 
 Nulls: a null or wordless text has fingerprint zero and links like any other. A null
 id takes part; it is never a component's id unless the component has no other.
@@ -23,6 +29,7 @@ Repeated rows each get a row. An empty table gives an empty result.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 from itertools import combinations, repeat
 
 import numpy as np
@@ -36,6 +43,8 @@ from .components import components
 
 SHINGLE, SEED, LIMIT, BLOCK = 3, 42, 2, 64
 MASKS = [3 << 2 * j for j in range(32)]
+#: Pairings of the bits, one a table.
+TABLES = [MASKS, [(1 | 1 << 32) << j for j in range(32)], [1 << j | 1 << 63 - j for j in range(32)]]
 GROUPS = [range(0, 7), range(7, 14), range(14, 20), range(20, 26), range(26, 32)]
 
 
@@ -69,28 +78,21 @@ def fingerprints(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") ->
     return docs.select(docs[doc_id].alias("doc_id"), docs[text].cast("string").alias("text")).mapInArrow(run, f"doc_id {kind}, fp long")
 
 
-def _coordinates(fp: Column) -> Column:
-    return F.array(F.bit_count(fp), *[F.bit_count(fp.bitwiseXOR(F.lit(signed(m)))) for m in MASKS])
+def _coordinates(fp: Column, masks: list[int] = MASKS) -> Column:
+    return F.array(F.bit_count(fp), *[F.bit_count(fp.bitwiseXOR(F.lit(signed(m)))) for m in masks])
 
 
-def _keys() -> Column:
-    """From column ones, the counts under the masks: ten keys, each with the number of its choice of groups. Keys are hashed counts; a clash only adds candidates."""
-    out = []
-    for way, chosen in enumerate(combinations(GROUPS, len(GROUPS) - LIMIT)):
-        counts = F.concat(*[F.slice("ones", g[0] + 1, len(g)) for g in chosen])
-        out.append(F.struct(F.lit(way).alias("way"), F.xxhash64(counts).alias("key")))
-    return F.array(*out)
+def _keyed(rows: DataFrame, masks: list[int]) -> DataFrame:
+    """(fp, key), ten rows for one of (fp, key): the key goes on with a choice of three groups and their counts under the masks. Keys are hashes; a clash only adds candidates."""
+    pivots = _coordinates(F.col("fp"), masks)
+    rows = rows.select("fp", "key", pivots.alias("p")).select("fp", "key", F.expr("transform(slice(p, 2, 32), x -> (p[0] + 2 - x) div 2)").alias("ones"))
+    ways = [F.xxhash64("key", F.lit(way), F.concat(*[F.slice("ones", g[0] + 1, len(g)) for g in chosen])) for way, chosen in enumerate(combinations(GROUPS, len(GROUPS) - LIMIT))]
+    return rows.select("fp", F.explode(F.array(*ways)).alias("key"))
 
 
-def links(spark: SparkSession, fps: DataFrame, scratch: Scratch) -> DataFrame:
-    """(a, b): edges that connect just what the pairs at distance up to LIMIT connect. fps: distinct, column fp. b may be a neighbour, no fingerprint itself."""
-    piv = fps.select("fp", _coordinates(F.col("fp")).alias("pivots"))
-    piv = piv.select("fp", F.expr("transform(slice(pivots, 2, 32), p -> (pivots[0] + 2 - p) div 2)").alias("ones"))
-    keyed = scratch.save(piv.select("fp", F.explode(_keys()).alias("k")).select("fp", "k.way", "k.key"), "keyed")
-    shared = keyed.groupBy("way", "key").agg(F.count("*").alias("n")).where("n > 1")
-    shared = scratch.save(shared, "shared")
-    few = keyed.join(shared.where(F.col("n") <= BLOCK), ["way", "key"])
-    lists = few.groupBy("way", "key").agg(F.array_sort(F.collect_list("fp")).alias("fps"))
+def _verified(member: DataFrame) -> DataFrame:
+    """(a, b): the pairs within the limit among fingerprints that share a key."""
+    lists = member.groupBy("key").agg(F.array_sort(F.collect_list("fp")).alias("fps"))
     lists = lists.withColumn("items", F.transform("fps", lambda x: F.struct(x.alias("fp"), _coordinates(x).alias("pivots"))))
     pairs = F.expr(f"""
         flatten(transform(items, (x, i) -> transform(
@@ -99,13 +101,29 @@ def links(spark: SparkSession, fps: DataFrame, scratch: Scratch) -> DataFrame:
                 AND NOT exists(zip_with(x.pivots, y.pivots, (p, q) -> abs(p - q)), d -> d > {LIMIT})
                 AND bit_count(x.fp ^ y.fp) <= {LIMIT}),
             y -> struct(x.fp AS a, y.fp AS b))))""")
-    small = lists.select(F.explode(pairs).alias("p")).select("p.a", "p.b").distinct()
-    crowd = keyed.join(shared.where(F.col("n") > BLOCK), ["way", "key"], "left_semi").select("fp").distinct()
-    near = F.array(F.col("fp"), *[F.col("fp").bitwiseXOR(F.lit(signed(1 << i))) for i in range(64)])
-    around = scratch.save(crowd.select("fp", F.explode(near).alias("near")), "around")
-    first = around.groupBy("near").agg(F.min("fp").alias("b"), F.count("*").alias("n")).where("n > 1")
-    large = around.join(first, "near").where(F.col("fp") != F.col("b")).select(F.col("fp").alias("a"), "b").distinct()
-    return scratch.save(small.unionByName(large), "links")
+    return lists.select(F.explode(pairs).alias("p")).select("p.a", "p.b").distinct()
+
+
+def links(spark: SparkSession, fps: DataFrame, scratch: Scratch) -> DataFrame:
+    """(a, b): edges that connect just what the pairs at distance up to LIMIT connect. fps: distinct, column fp. b may be a neighbour, no fingerprint itself."""
+    rows, out = fps.select("fp", F.lit(0).cast("long").alias("key")), []
+    for level, masks in enumerate(TABLES):
+        keyed = scratch.save(_keyed(rows, masks), f"keyed-{level}")
+        shared = scratch.save(keyed.groupBy("key").agg(F.count("*").alias("n")).where("n > 1"), f"shared-{level}")
+        out.append(_verified(keyed.join(shared.where(F.col("n") <= BLOCK), "key")))
+        rows = keyed.join(shared.where(F.col("n") > BLOCK), "key", "left_semi")
+        if shared.where(F.col("n") > BLOCK).isEmpty():
+            break
+    else:
+        crowd = rows.select("fp").distinct()
+        near = F.array(F.col("fp"), *[F.col("fp").bitwiseXOR(F.lit(signed(1 << i))) for i in range(64)])
+        around = scratch.save(crowd.select("fp", F.explode(near).alias("near")), "around")
+        first = scratch.save(around.groupBy("near").agg(F.min("fp").alias("b"), F.count("*").alias("n")).where("n > 1"), "pivots")
+        out.append(around.join(first, "near").where(F.col("fp") != F.col("b")).select(F.col("fp").alias("a"), "b").distinct())
+    found = scratch.save(reduce(DataFrame.unionByName, out), "links")
+    for name in ("around", "pivots", *[f"{kind}-{k}" for kind in ("keyed", "shared") for k in range(len(TABLES))]):
+        scratch.drop(name)
+    return found
 
 
 def classes(docs: DataFrame, scratch: Scratch, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
