@@ -50,7 +50,9 @@ FROM d LEFT JOIN words USING (rid) LEFT JOIN items USING (rid)
 
 
 def op2_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = secrets.scan(table(spark, sf_dir, "documents").select("doc_id", "text"), secrets.Ledger(Scratch(spark, "op2")))
+    # clipweave.ledger names the folder of a ledger to go on with, so that only new blobs are scanned; else this run begins one
+    ledger = secrets.Ledger(spark, spark.conf.get("clipweave.ledger", None) or Scratch(spark, "op2").path)
+    found = secrets.scan(table(spark, sf_dir, "documents").select("doc_id", "text"), ledger, path="doc_id")
     count = lambda kind: F.size(F.filter("findings", lambda x: x["kind"] == kind)).cast("long").alias(f"n_{kind}")
     spans = secrets.spans(F.col("findings"))
     return found.select("doc_id", *[count(k) for k in secrets.KINDS], F.sha2(spans, 256).alias("base_sha256"), spans.alias("spans"))

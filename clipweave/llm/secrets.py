@@ -1,16 +1,22 @@
 """Secret scans over an incremental ledger of blobs.
 
-A version is a row: a path, and a text that is addressed by its SHA-256. The ledger
-holds one row for each blob and rule version that has been scanned, with its
-findings. A scan looks only at pairs that the ledger lacks, each once however many
-paths hold the blob, appends what it finds, and joins findings back to all paths.
+A version is a row: a path, a version of it if there is a history, and a text that is
+addressed by its SHA-256. The ledger is a folder of Parquet tables in shared storage,
+which any later process may open again: blobs, with a row for each blob and rule version
+that has been scanned and its findings, and versions, with a row for each path and
+version that was ever seen and its blob. A scan looks only at pairs of blob and rules
+that the ledger lacks, each once however many versions hold the blob, appends what it
+finds, and joins findings back to all paths. Spark's commit of an appended folder makes
+a scan whole or absent: blobs are committed last, so a scan that fails is done again.
 
 Whether a blob can hold a finding at all is tested first by functions that run
 inside the scan of the table, so that only suspects' texts are shuffled (to keep
 one copy of each) and meet the regular expressions. All blobs enter the ledger.
 
-Nulls: a null text is the empty blob; null paths are kept. Repeated rows each get a
-row. An empty table gives an empty result.
+Nulls: a null text is the empty blob; null paths and versions are kept. Repeated rows
+each get a row and one entry. An empty table gives an empty result. A text is searched
+whole in one row; its findings take about 100 bytes each. Columns of the versions other
+than blob and findings are carried along, whatever their names.
 """
 
 from __future__ import annotations
@@ -19,8 +25,10 @@ import re
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.errors import AnalysisException
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .common import Scratch
 
@@ -31,7 +39,7 @@ ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 HEX = re.compile(r"[0-9a-f]+")
 MIN_VALUE, MIN_ACCESS, MIN_HEX = 8, 16, 32
 FINDINGS = "array<struct<kind:string,start:int,end:int>>"
-LEDGER = f"blob string, rules string, findings {FINDINGS}"
+BLOBS, VERSIONS = f"blob string, rules string, findings {FINDINGS}", "path string, version string, blob string"
 
 
 def find(text: str) -> list[tuple[str, int, int]]:
@@ -60,39 +68,64 @@ def _scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 class Ledger:
-    """A Parquet table of scanned pairs in shared storage; each scan appends one folder."""
+    """The tables of one ledger folder; opening an existing one goes on with it."""
 
-    def __init__(self, scratch: Scratch):
-        self.scratch, self.parts = scratch, 0
+    def __init__(self, spark: SparkSession, path: str):
+        self.spark, self.path = spark, path.rstrip("/")
 
-    def rows(self) -> DataFrame:
-        spark = self.scratch.spark
-        if not self.parts:
-            return spark.createDataFrame([], LEDGER)
-        return spark.read.schema(LEDGER).parquet(*[f"{self.scratch.path}/ledger-{k}" for k in range(self.parts)])
+    def _rows(self, name: str, schema: str) -> DataFrame:
+        try:
+            return self.spark.read.schema(schema).parquet(f"{self.path}/{name}")
+        except AnalysisException as e:
+            if e.getCondition() != "PATH_NOT_FOUND":
+                raise
+            return self.spark.createDataFrame([], schema)
 
-    def append(self, rows: DataFrame) -> None:
-        self.scratch.save(rows.select("blob", "rules", "findings"), f"ledger-{self.parts}")
-        self.parts += 1
+    def blobs(self) -> DataFrame:
+        return self._rows("blobs", BLOBS)
 
+    def versions(self) -> DataFrame:
+        return self._rows("versions", VERSIONS)
 
-def scan(versions: DataFrame, ledger: Ledger, text: str = "text", rules: str = RULES_VERSION) -> DataFrame:
-    """The rows of versions with blob and findings (columns of these names are replaced); the ledger grows by the unseen pairs."""
+    def append(self, name: str, rows: DataFrame) -> None:
+        rows.write.mode("append").parquet(f"{self.path}/{name}")
+
+    def history(self, rules: str = RULES_VERSION) -> DataFrame:
+        """(path, version, blob, findings) of every version ever seen that has findings under these rules, also of paths whose present text has none."""
+        hits = self.blobs().where((F.col("rules") == rules) & (F.size("findings") > 0)).select("blob", "findings").dropDuplicates(["blob"])
+        return self.versions().join(hits, "blob")
+
+
+def scan(versions: DataFrame, ledger: Ledger, text: str = "text", rules: str = RULES_VERSION, path: str | None = None, version: str | None = None) -> DataFrame:
+    """The rows of versions with blob and findings (columns of these names are replaced); the ledger grows by the unseen pairs. With path (and version), it also learns which versions hold a blob."""
     base = versions.drop("blob", "findings")
-    base = base.withColumn("blob", F.sha2(F.coalesce(F.col(text), F.lit("")), 256))
-    known = ledger.rows().where(F.col("rules") == rules) if ledger.parts else None
+    base = base.withColumn("blob", _blob(F.col(text)))
+    found = _scanned(base, ledger, text, rules, path, version)
+    return base.join(found, "blob", "left").withColumn("findings", F.coalesce("findings", F.array().cast(FINDINGS)))
+
+
+def _blob(text: Column) -> Column:
+    return F.sha2(F.coalesce(text, F.lit("")), 256)
 
-    def unseen(df: DataFrame) -> DataFrame:
-        return df if known is None else df.join(known.select("blob"), "blob", "left_anti")
 
-    one = unseen(base.select("blob", base[text].alias("text")).where(suspicious(F.col("text")))).dropDuplicates(["blob"])
+def _scanned(base: DataFrame, ledger: Ledger, text: str, rules: str, path: str | None = None, version: str | None = None) -> DataFrame:
+    """(blob, findings) of the blobs that have findings, once the ledger knows all blobs of base."""
+    known = ledger.blobs().where(F.col("rules") == rules).select("blob")
+    one = base.select("blob", F.col(text).alias("text")).where(suspicious(F.col("text"))).dropDuplicates(["blob"]).join(known, "blob", "left_anti")
     hits = one.mapInArrow(_scan, f"blob string, findings {FINDINGS}").where(F.size("findings") > 0)
-    hits = ledger.scratch.save(hits, f"hits-{ledger.parts}")
-    new = unseen(base.select("blob").distinct()).join(hits, "blob", "left")
-    ledger.append(new.select("blob", F.lit(rules).alias("rules"), F.coalesce("findings", F.array().cast(FINDINGS)).alias("findings")))
-    # Blobs with findings are few; those without need no partner.
-    hits = ledger.rows().where((F.col("rules") == rules) & (F.size("findings") > 0)).select("blob", "findings")
-    return base.join(hits, "blob", "left").withColumn("findings", F.coalesce("findings", F.array().cast(FINDINGS)))
+    step = Scratch(ledger.spark, "secrets-step")
+    hits = step.save(hits, "hits")  # Spark knows its size: blobs with findings are few, those without need no partner
+    new = base.select("blob").distinct().join(known, "blob", "left_anti").join(hits, "blob", "left")
+    if path:
+        cells = [F.col(c).cast("string").alias(k) if c else F.lit(None).cast("string").alias(k) for k, c in (("path", path), ("version", version))]
+        seen = base.select(*cells, "blob").distinct()
+        old = ledger.versions().select(*[F.col(c).alias(f"old_{c}") for c in ("path", "version", "blob")])
+        seen = seen.join(old, [F.col("blob") == F.col("old_blob"), *[F.col(c).eqNullSafe(F.col(f"old_{c}")) for c in ("path", "version")]], "left_anti")
+        ledger.append("versions", seen)
+    ledger.append("blobs", new.select("blob", F.lit(rules).alias("rules"), F.coalesce("findings", F.array().cast(FINDINGS)).alias("findings")))
+    step.drop()
+    # A blob may stand twice where two scans ran at once.
+    return ledger.blobs().where((F.col("rules") == rules) & (F.size("findings") > 0)).select("blob", "findings").dropDuplicates(["blob"])
 
 
 def spans(findings: Column) -> Column:
@@ -119,14 +152,19 @@ def merged(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
     return out
 
 
-def redacted(versions: DataFrame, ledger: Ledger, text: str = "text") -> DataFrame:
-    """The versions' own columns, secrets in the text replaced."""
-    found = scan(versions, ledger, text)
+def redacted(versions: DataFrame, ledger: Ledger, text: str = "text", rules: str = RULES_VERSION) -> DataFrame:
+    """The versions' own columns, secrets in the text replaced. Only rows that may hold one are joined and moved."""
+    own = F.struct(*[versions[c] for c in versions.columns]).alias("row")
+    base = versions.select(own, versions[text].alias("text"))
+    found = _scanned(base.select("text", _blob(F.col("text")).alias("blob")), ledger, "text", rules)
+    maybe = F.coalesce(suspicious(F.col("text")), F.lit(False))
+    dirty = base.where(maybe).withColumn("blob", _blob(F.col("text"))).join(found, "blob", "left").select("row", "text", "findings")
 
-    @F.udf("string")
-    def cut(t, f):
-        return redact(t, f)
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            new = [redact(t, f) if f else t for t, f in zip(b.column("text").to_pylist(), b.column("findings").to_pylist())]
+            yield pa.RecordBatch.from_arrays([b.column("row"), pa.array(new, pa.string())], ["row", "text"])
 
-    hit = F.size("findings") > 0
-    dirty = found.where(hit).withColumn(text, cut(F.col(text), F.col("findings")))
-    return found.where(~hit).unionByName(dirty).select(*versions.columns)
+    kind = T.StructType([T.StructField("row", base.schema["row"].dataType), T.StructField("text", T.StringType())])
+    out = base.where(~maybe).select("row", "text").unionByName(dirty.mapInArrow(run, kind))
+    return out.select(*[F.col("text").alias(c) if c == text else F.col(f"row.`{c}`").alias(c) for c in versions.columns])

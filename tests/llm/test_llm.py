@@ -87,16 +87,16 @@ def test_secret_rules(text, want):
 
 def test_secret_ledger_scans_each_blob_once(spark):
     rows = [*ODD, (7, "token=abcdefgh", "a"), (8, "token=abcdefgh", "a")]
-    ledger = secrets.Ledger(Scratch(spark, "t"))
+    ledger = secrets.Ledger(spark, Scratch(spark, "t").path)
     got = {str(r.doc_id): [tuple(f) for f in r.findings] for r in secrets.scan(documents(spark, rows).withColumn("blob", F.lit(1)), ledger).collect()}
     assert got["7"] == got["8"] == [("assign", 0, 14)] and got["1"] == []
-    first = ledger.rows().count()
+    first = ledger.blobs().count()
     assert first == len({t or "" for _, t, _ in rows})
     again = secrets.scan(documents(spark, [*rows, (9, "new AKIA" + "B" * 16, "a")]), ledger)
-    assert again.count() == len(rows) + 1 and ledger.rows().count() == first + 1
+    assert again.count() == len(rows) + 1 and ledger.blobs().count() == first + 1
     secrets.scan(documents(spark, rows), ledger, rules="2")
-    assert ledger.rows().count() == 2 * first + 1
-    assert [r.text for r in secrets.redacted(documents(spark, rows[-1:]), secrets.Ledger(Scratch(spark, "t"))).collect()] == ["[secret]"]
+    assert ledger.blobs().count() == 2 * first + 1
+    assert [r.text for r in secrets.redacted(documents(spark, rows[-1:]), secrets.Ledger(spark, Scratch(spark, "t").path)).collect()] == ["[secret]"]
 
 
 def test_secret_filter_keeps_all_that_match(spark):
