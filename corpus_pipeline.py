@@ -40,7 +40,7 @@ def no_benchmarks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 def no_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Secrets are replaced by a mark."""
-    return _counted(secrets.redacted(docs, secrets.Ledger(Scratch(spark, "secrets"))), docs)
+    return _counted(secrets.redacted(docs, secrets.Ledger(spark, Scratch(spark, "secrets").path)), docs)
 
 
 def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
