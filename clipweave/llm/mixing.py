@@ -10,7 +10,14 @@ draw; sums per block, superblock and source (never per document) place the targe
 A tree over the output shards splits the sources' draws: at a node the draws that go
 left are multivariate-hypergeometric, with a generator seeded by the node. A leaf
 thus owns an interval of every source's draws; each shard's task walks from the root
-on its own, so nothing grows on the driver but one row a source.
+on its own, so nothing grows on the driver but one row a source. From the intervals
+comes a row for each block with the shards of its passes. Documents look up their block
+there, by one join that Spark broadcasts while the table of blocks is small; the mix
+itself is dealt to shards in one more shuffle.
+
+The generator of the tree takes up to 10^9 draws in all, so blocks hold BLOCK_DOCS
+documents or, beyond 2^28 blocks, as many more as keep it at that. Words of a text are
+counted in one row.
 
 Nulls: a null text has size 0; documents of a null source form the last source; null
 ids are kept. Documents of size 0 may be drawn, and weigh nothing. Repeated rows are
@@ -30,7 +37,7 @@ from pyspark.sql import Window as W
 from .common import TOKEN, Scratch
 
 WEIGHTS, SHARE, MOST_COPIES = (3, 1, 2), 1.5, 2
-BLOCK_DOCS, SUPER, SHARD_WORDS = 256, 10, 2_000_000
+BLOCK_DOCS, SUPER, SHARD_WORDS, MOST_BLOCKS = 256, 10, 2_000_000, 1 << 28
 OWN = ("size", "source_size", "target", "shards")
 
 
@@ -89,6 +96,7 @@ def draw(docs: DataFrame, scratch: Scratch, text: str = "text", source: str = "s
     narrow = scratch.save(base.select("source", "size", "u"), "narrow")
     per = sorted(((r.source, r.n, r.words) for r in narrow.groupBy("source").agg(F.count("*").alias("n"), F.sum("size").alias("words")).collect()), key=lambda r: (r[0] is None, (r[0] or "").encode()))
     goal = targets([w for *_, w in per])
+    block_docs = max(block_docs, -(-sum(n for _, n, _ in per) // MOST_BLOCKS))
     bits = [min(40, max(0, int(np.ceil(np.log2(max(n / block_docs, 1)))))) for _, n, _ in per]
     full = [min(MOST_COPIES, int(t // w)) if w else 0 for (*_, w), t in zip(per, goal)]
     rows = [(k, s, w, t, b, f, t - f * w) for k, ((s, _, w), t, b, f) in enumerate(zip(per, goal, bits, full))]
@@ -123,18 +131,18 @@ def draw(docs: DataFrame, scratch: Scratch, text: str = "text", source: str = "s
                 yield pd.DataFrame({"s": np.arange(len(n), dtype=np.int32), "first": first, "n": n, "shard": np.int64(leaf)})[n > 0]
 
     share = spark.range(shards).mapInPandas(leaves, "s int, first long, n long, shard long")
-    share = share.select("s", "shard", F.explode(F.expr("sequence(first, first + n - 1)")).alias("j"))
-    share = scratch.save(share, "shares")  # a row a draw; Spark knows its size and chooses the join
+    # A row a draw, narrow, and from these a row a block; draws count up through a source's passes.
+    share = share.select("s", "shard", F.explode(F.expr("sequence(first, first + n - 1)")).alias("j")).join(F.broadcast(sources.select("s", "bits")), "s")
+    share = share.select("s", F.expr("j & ((1L << bits) - 1)").alias("block"), F.struct(F.expr("shiftright(j, bits)").alias("pass"), "shard").alias("p"))
+    place = share.groupBy("s", "block").agg(F.array_sort(F.collect_list("p")).alias("p")).select("s", "block", F.transform("p", lambda x: x["shard"]).alias("places"))
+    place = scratch.save(place, "places")  # MOST_COPIES shards a block; Spark knows its size and chooses the join
 
     extra = spark.createDataFrame([(k, e) for k, e in enumerate(whole)], "s int, whole long")
     out = placed(base).join(F.broadcast(extra), "s").join(taken.withColumn("fits", F.lit(True)), ["s", "u"], "left")
     more = (F.col("block") < F.col("whole")) | F.coalesce("fits", F.lit(False))
-    copies = F.col("full") + more.cast("int")
-    out = out.withColumn("copies", F.least(copies, F.lit(MOST_COPIES)))
-    out = out.select("row", "size", "source_size", "target", "copies", "s", *[F.when(F.col("copies") > p, F.expr(f"block + {p} * (1L << bits)")).alias(f"j{p}") for p in range(MOST_COPIES)])
-    for p in range(MOST_COPIES):
-        out = out.join(share.select("s", F.col("j").alias(f"j{p}"), F.col("shard").alias(f"shard{p}")), ["s", f"j{p}"], "left")
-    shards_ = F.filter(F.array(*[f"shard{p}" for p in range(MOST_COPIES)]), lambda x: x.isNotNull())
+    copies = F.least(F.col("full") + more.cast("int"), F.lit(MOST_COPIES))
+    out = out.withColumn("copies", copies).join(place, ["s", "block"], "left")
+    shards_ = F.slice(F.coalesce("places", F.array().cast("array<long>")), F.lit(1), F.col("copies"))
     return out.select("row.*", "size", "source_size", "target", shards_.alias("shards"))
 
 
