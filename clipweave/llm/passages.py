@@ -18,9 +18,15 @@ Similar lines form components. A paragraph belongs to the document with the leas
 that has it or a line of its component; the other documents' copies are marked for
 removal. Components of documents follow from shared paragraphs.
 
+Paragraphs are equal if two independent hashes of their words are, of 64 and of 32 bits:
+the first deals them out, the second is compared where it says equal. Shingles are
+compared by 32 bits of their hashes.
+
 Nulls: a null text has no paragraphs; rows with a null id are returned but not
-compared. Repeated rows each get a row; a passage that only repeats inside one id is no
-repeat. An empty table gives an empty result.
+compared. Ids may be of any type that has an order. Repeated rows each get a row; a
+passage that only repeats inside one id is no repeat; of equal ids none is first. An
+empty table gives an empty result. Only the two named columns are read. Texts are read
+whole, in blocks of about BLOCK words or one text; a text takes about 100 bytes a word.
 """
 
 from __future__ import annotations
@@ -39,13 +45,13 @@ from pyspark.sql import functions as F
 from .common import Scratch
 from .components import components
 
-MIN_WORDS, RUN, SHINGLE, SIMILAR, BANDS, ROWS, BUCKET, CHUNK, BLOCK, BROADCAST = 25, 50, 5, (4, 5), 8, 3, 8, 512, 1_000_000, 500_000
+MIN_WORDS, RUN, SHINGLE, SIMILAR, BANDS, ROWS, BUCKET, CHUNK, BLOCK, BROADCAST, COLUMNS = 25, 50, 5, (4, 5), 8, 3, 8, 512, 1_000_000, 500_000, 8192
 SENTENCE = re.compile(r"((?<=[.!?])\s+|\n)")
 U = np.uint64
 _B = U(0x9E3779B97F4A7C15)
-_INV = U(pow(int(_B), -1, 1 << 64))
+_C = U(0xD6E8FEB86659FD93)
 _A = np.random.default_rng(11).integers(1, 1 << 63, BANDS * ROWS, dtype=np.uint64) * U(2) + U(1)
-PARAGRAPHS = "doc_id long, at int, n int, content long, bands array<long>, shingles array<int>"
+PARAGRAPHS = "at int, n int, content long, proof int, bands array<long>, shingles array<int>"
 
 
 def _mix(h: np.ndarray) -> np.ndarray:
@@ -76,14 +82,26 @@ class Tokens:
                 lines.append(at)
             self.docs.append(at)
         self.sentences, self.lines, self.docs = np.array(sentences), np.array(lines), np.array(self.docs)
-        hashes = np.fromiter((xxhash.xxh64_intdigest(w) for w in known), U, len(known))
-        w = hashes[np.array(words, np.int64)] if words else np.zeros(0, U)
-        power = np.cumprod(np.concatenate([[U(1)], np.full(len(w), _B)]), dtype=U)
-        self.undo = np.cumprod(np.concatenate([[U(1)], np.full(len(w), _INV)]), dtype=U)
-        self.sums = np.concatenate([[U(0)], np.cumsum(w * power[:-1], dtype=U)])
+        words = np.array(words, np.int64)
+        self.first, self.second = self._sums(words, known, 0, _B), self._sums(words, known, 1, _C)
+        self.sums = self.first[0]
+
+    @staticmethod
+    def _sums(words: np.ndarray, known: dict[str, int], seed: int, base: np.uint64) -> tuple[np.ndarray, np.ndarray]:
+        """Running sums of the words' hashes times powers of the base, and the inverse powers."""
+        w = np.fromiter((xxhash.xxh64_intdigest(x, seed) for x in known), U, len(known))[words] if len(words) else np.zeros(0, U)
+        power = np.cumprod(np.concatenate([[U(1)], np.full(len(w), base)]), dtype=U)
+        undo = np.cumprod(np.concatenate([[U(1)], np.full(len(w), U(pow(int(base), -1, 1 << 64)))]), dtype=U)
+        return np.concatenate([[U(0)], np.cumsum(w * power[:-1], dtype=U)]), undo
 
     def hash(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
-        return _mix((self.sums[b] - self.sums[a]) * self.undo[a] + (b - a).astype(U))
+        sums, undo = self.first
+        return _mix((sums[b] - sums[a]) * undo[a] + (b - a).astype(U))
+
+    def proof(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        """32 bits of another hash."""
+        sums, undo = self.second
+        return (_mix((sums[b] - sums[a]) * undo[a] + (b - a).astype(U)) >> U(32)).astype(np.uint32).view(np.int32)
 
 
 def _winnowed(t: Tokens) -> tuple[np.ndarray, np.ndarray]:
@@ -113,14 +131,14 @@ def _winnowed(t: Tokens) -> tuple[np.ndarray, np.ndarray]:
     return np.concatenate([a, first]), np.concatenate([a + MIN_WORDS, first + RUN])
 
 
-def _paragraphs(ids: np.ndarray, texts: list[str]) -> Iterator[pa.RecordBatch]:
+def _paragraphs(ids: pa.Array, texts: list[str]) -> Iterator[pa.RecordBatch]:
     t = Tokens(texts)
-    kinds = [pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.list_(pa.int64()), pa.list_(pa.int32())]
-    names = [x.split()[0] for x in PARAGRAPHS.split(", ")]
+    kinds = [ids.type, pa.int32(), pa.int32(), pa.int64(), pa.int32(), pa.list_(pa.int64()), pa.list_(pa.int32())]
+    names = ["doc_id", *(x.split()[0] for x in PARAGRAPHS.split(", "))]
 
     def batch(a, b, content, bands, shingles):
         doc = np.searchsorted(t.docs, a, side="right") - 1
-        return pa.RecordBatch.from_arrays([pa.array(ids[doc]), pa.array((a - t.docs[doc]).astype(np.int32)), pa.array((b - a).astype(np.int32)), pa.array(content.view(np.int64)), bands, shingles], schema=pa.schema(list(zip(names, kinds))))
+        return pa.RecordBatch.from_arrays([ids.take(pa.array(doc)), pa.array((a - t.docs[doc]).astype(np.int32)), pa.array((b - a).astype(np.int32)), pa.array(content.view(np.int64)), pa.array(t.proof(a, b)), bands, shingles], schema=pa.schema(list(zip(names, kinds))))
 
     a = t.sentences[:-1]
     to = np.searchsorted(t.sentences, a + MIN_WORDS)
@@ -132,7 +150,7 @@ def _paragraphs(ids: np.ndarray, texts: list[str]) -> Iterator[pa.RecordBatch]:
     more = _winnowed(t)
     a, b = np.concatenate([a, more[0]]), np.concatenate([b, more[1]])
     if len(a):
-        yield batch(a, b, t.hash(a, b), pa.nulls(len(a), kinds[4]), pa.nulls(len(a), kinds[5]))
+        yield batch(a, b, t.hash(a, b), pa.nulls(len(a), kinds[5]), pa.nulls(len(a), kinds[6]))
     a, b = t.lines[:-1], t.lines[1:]
     ok = b - a >= MIN_WORDS
     a, b = a[ok], b[ok]
@@ -149,7 +167,8 @@ def _paragraphs(ids: np.ndarray, texts: list[str]) -> Iterator[pa.RecordBatch]:
             bands.append(h)
         bands = np.stack(bands, axis=1).ravel()
         line = np.repeat(np.arange(len(a)), size).astype(U)
-        sets = np.unique(line << U(32) | (s >> U(32)))
+        sets = np.sort(line << U(32) | (s >> U(32)))
+        sets = sets[np.append(True, sets[1:] != sets[:-1])]
         ends = np.searchsorted(sets >> U(32), np.arange(len(a) + 1, dtype=U))
         lists = pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), pa.array((sets & U(0xFFFFFFFF)).astype(np.uint32).view(np.int32)))
         yield batch(a, b, t.hash(a, b), pa.ListArray.from_arrays(pa.array(np.arange(len(a) + 1, dtype=np.int32) * BANDS), pa.array(bands.view(np.int64))), lists)
@@ -160,16 +179,16 @@ def paragraphs(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> D
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            ids, texts = b.column(0).to_numpy(), b.column(1).to_pylist()
+            ids, texts = b.column(0), b.column(1).to_pylist()
             begin = size = 0
             for i, t in enumerate(texts):
                 size += len(t) // 6
                 if size >= BLOCK or i == len(texts) - 1:
-                    yield from _paragraphs(ids[begin : i + 1], texts[begin : i + 1])
+                    yield from _paragraphs(ids.slice(begin, i + 1 - begin), texts[begin : i + 1])
                     begin, size = i + 1, 0
 
     rows = docs.where(docs[doc_id].isNotNull() & docs[text].isNotNull())
-    return rows.select(rows[doc_id].cast("long").alias("doc_id"), rows[text].alias("text")).mapInArrow(run, PARAGRAPHS)
+    return rows.select(rows[doc_id].alias("doc_id"), rows[text].alias("text")).mapInArrow(run, f"doc_id {docs.schema[doc_id].dataType.simpleString()}, {PARAGRAPHS}")
 
 
 def _similar(a: str, b: str) -> str:
@@ -182,10 +201,16 @@ def _forest(rows: pd.DataFrame) -> pd.DataFrame:
     """Of lines that share a bucket: each with the first that it is connected to."""
     content, sets = rows["content"].to_numpy(), rows["shingles"].tolist()
     size = np.array([len(x) for x in sets])
-    _, word = np.unique(np.concatenate(sets), return_inverse=True)
-    x = np.zeros((len(sets), int(word.max()) + 1), np.float32)
-    x[np.repeat(np.arange(len(sets)), size), word] = 1
-    both = x @ x.T
+    words, word = np.unique(np.concatenate(sets), return_inverse=True)
+    line = np.repeat(np.arange(len(sets)), size)
+    order = np.argsort(word, kind="stable")
+    word, line = word[order], line[order]
+    both = np.zeros((len(sets), len(sets)), np.float32)  # exact: counts are below 2^24
+    for k in range(0, len(words), COLUMNS):  # so many shingles at once bound the matrix
+        a, b = np.searchsorted(word, [k, k + COLUMNS])
+        x = np.zeros((len(sets), min(COLUMNS, len(words) - k)), np.float32)
+        x[line[a:b], word[a:b] - k] = 1
+        both += x @ x.T
     linked = SIMILAR[1] * both >= SIMILAR[0] * (size[:, None] + size[None] - both)
     label, before = np.arange(len(sets)), None
     while before is None or (label != before).any():
@@ -214,7 +239,33 @@ def similar_lines(lines: DataFrame, sets: DataFrame, scratch: Scratch) -> DataFr
     many = many.withColumn("own", F.pmod(F.xxhash64("content", "band"), F.col("chunks"))).withColumn("other", F.explode(F.expr("sequence(0L, chunks - 1)")))
     many = many.select("band", "key", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "content", "shingles")
     many = many.groupBy("band", "key", "i", "j").applyInPandas(_forest, "a long, b long")
-    return scratch.save(few.unionByName(many).distinct(), "similar")
+    out = scratch.save(few.unionByName(many).distinct(), "similar")
+    scratch.drop("members")
+    scratch.drop("asked")
+    return out
+
+
+def per_schema(docs: DataFrame, doc_id: str) -> str:
+    kind = docs.schema[doc_id].dataType.simpleString()
+    return f"doc_id {kind}, root {kind}, n_links long, remove array<struct<at:int,to:int>>"
+
+
+def _merged(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Spans that overlap or touch become one; they are sorted by at."""
+    for b in batches:
+        spans = b.column("spans")
+        size = np.asarray(spans.value_lengths().fill_null(0))
+        flat = spans.flatten()
+        at, to = np.asarray(flat.field("at")), np.asarray(flat.field("to")).astype(np.int64)
+        row = np.repeat(np.arange(len(size)), size)
+        far = np.int64(1) << 32  # sets the rows apart
+        reach = np.maximum.accumulate(to + row * far) if len(to) else to
+        new = np.append(True, at[1:] + row[1:] * far > reach[:-1]) if len(to) else np.zeros(0, bool)
+        first = np.nonzero(new)[0]
+        ends = reach[np.append(first[1:], len(to)) - 1] - row[first] * far if len(to) else to
+        kept = np.concatenate([[0], np.cumsum(np.bincount(row[first], minlength=len(size)))])
+        cells = pa.StructArray.from_arrays([pa.array(at[first].astype(np.int32)), pa.array(ends.astype(np.int32))], ["at", "to"])
+        yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("root"), b.column("n_links"), pa.ListArray.from_arrays(pa.array(kept.astype(np.int32)), cells)], ["doc_id", "root", "n_links", "remove"])
 
 
 def repeats(docs: DataFrame, scratch: Scratch, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
@@ -231,19 +282,26 @@ def repeats(docs: DataFrame, scratch: Scratch, doc_id: str = "doc_id", text: str
     # A content is shared if equal or similar ones are in another document.
     alone = owner.where("first < last").select("content", "first").join(of, "content", "left_anti").withColumnRenamed("first", "keeper")
     owner = scratch.save(of.unionByName(alone), "owners")
-    mine = scratch.save(all_.select("doc_id", "at", "n", "content").join(owner, "content").select("doc_id", "at", "n", "keeper"), "shared")
+    mine = scratch.save(all_.select("doc_id", "at", "n", "content", "proof").join(owner, "content"), "shared")
+    scratch.drop("paragraphs")
+    # Contents whose hash two different paragraphs have are taken apart by the other hash.
+    torn = mine.groupBy("content").agg(F.min("proof").alias("p"), F.max("proof").alias("q")).where("p < q").select("content")
+    torn = scratch.save(torn, "torn")
+    if not torn.isEmpty():
+        of = mine.join(torn, "content", "left_semi").groupBy("content", "proof").agg(F.min("doc_id").alias("keeper"), F.max("doc_id").alias("last")).where("keeper < last")
+        apart = mine.drop("keeper").join(of.drop("last"), ["content", "proof"])
+        mine = scratch.save(mine.join(torn, "content", "left_anti").unionByName(apart), "shared-apart")
+    mine = mine.select("doc_id", "at", "n", "keeper")
     edges = mine.where("doc_id <> keeper").select(F.col("doc_id").alias("a"), F.col("keeper").alias("b")).distinct()
     found = components(spark, edges, scratch)
     per = mine.groupBy("doc_id").agg(
         F.count("*").alias("n_links"),
         F.array_sort(F.collect_set(F.when(F.col("doc_id") > F.col("keeper"), F.struct("at", (F.col("at") + F.col("n")).alias("to"))))).alias("spans"),
     )
-    per = per.join(found.select(F.col("node").alias("doc_id"), "root"), "doc_id", "left")
-    merge = F.expr("""aggregate(spans, cast(array() AS array<struct<at:int,to:int>>), (m, s) ->
-        CASE WHEN size(m) > 0 AND element_at(m, -1).to >= s.at
-             THEN concat(slice(m, 1, size(m) - 1), array(struct(element_at(m, -1).at AS at, greatest(element_at(m, -1).to, s.to) AS to)))
-             ELSE concat(m, array(struct(s.at AS at, s.to AS to))) END)""")
-    per = scratch.save(per.select("doc_id", "root", "n_links", merge.alias("remove")), "per-document")
-    ids = docs.select(docs[doc_id].cast("long").alias("doc_id")).join(per, "doc_id", "left")
+    per = per.join(found.select(F.col("node").alias("doc_id"), "root"), "doc_id", "left").mapInArrow(_merged, per_schema(docs, doc_id))
+    per = scratch.save(per, "per-document")
+    for name in ("lines", "similar", "clusters", "owners", "shared", "torn", "shared-apart"):
+        scratch.drop(name)
+    ids = docs.select(docs[doc_id].alias("doc_id")).join(per, "doc_id", "left")
     remove = F.coalesce("remove", F.array().cast("array<struct<at:int,to:int>>"))
     return ids.select("doc_id", F.least("doc_id", F.coalesce("root", "doc_id")).alias("component_id"), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), F.size(remove).cast("long").alias("n_remove"), remove.alias("remove"))
