@@ -39,7 +39,7 @@ import xxhash
 from pyspark.sql import DataFrame, Row
 from pyspark.sql import functions as F
 
-from .common import Scratch, widened
+from .common import Scratch, unused, widened
 from .eliasfano import EliasFano, U, pack, search, unpack
 
 BLOCK, DISCOUNT, STEP = 1_500_000, 0.75, 1024
@@ -335,7 +335,7 @@ def score(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
     """The documents with n_tokens, n_known, train_tokens, base_score and score (columns of these names are replaced)."""
     new = ("n_tokens", "n_known", "train_tokens", "base_score", "score")
     base = docs.drop(*new)
-    names = base.columns
+    names, own = base.columns, unused(base, "text_")
     schema = widened(base, **{c: "double" if c.endswith("score") else "long" for c in new})
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -344,6 +344,6 @@ def score(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
             out["train_tokens"] = np.full(len(block.sizes), model.n)
             for c in new:
                 rows = rows.append_column(c, pa.array(out[c]))
-            yield from rows.drop_columns(["__text"]).combine_chunks().to_batches()
+            yield from rows.drop_columns([own]).combine_chunks().to_batches()
 
-    return base.select(*[base[c] for c in names], base[text].cast("string").alias("__text")).mapInArrow(run, schema)
+    return base.select(*[base[c] for c in names], base[text].cast("string").alias(own)).mapInArrow(run, schema)

@@ -11,7 +11,10 @@ are drawn from it. All texts are scored.
 
 Nulls: a null text is scored like an empty one. Rows with a null label are not learned
 from. Without labels of both kinds every score is the share of label 1, or 0.5.
-Repeated rows each get a row. An empty table gives an empty result.
+Repeated rows each get a row. An empty table gives an empty result. Columns of any name
+are carried along; score and predicted are replaced. Equal texts have equal scores; a
+label that repeats an id counts as often as it stands. A text is one row's work, and
+its words are held in memory, about 150 bytes each.
 """
 
 from __future__ import annotations
@@ -24,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import widened
+from .common import unused, widened
 
 MAX_ROWS, PAIRS, CUT = 20_000, 200_000, 0.7
 FEATURES = 22
@@ -134,4 +137,4 @@ def score(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
             s = model.score(x)
             yield pa.RecordBatch.from_arrays([*b.columns[:-1], pa.array(s), pa.array((s >= CUT).astype(np.int32))], schema=pa.schema([*list(b.schema)[:-1], ("score", pa.float64()), ("predicted", pa.int32())]))
 
-    return base.select(*[base[c] for c in names], base[text].alias("__text")).mapInArrow(run, schema)
+    return base.select(*[base[c] for c in names], base[text].alias(unused(base, "text_"))).mapInArrow(run, schema)
