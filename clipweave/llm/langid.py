@@ -16,7 +16,9 @@ in pieces.
 
 Nulls: a null text, or one without a letter, is `und` with score 0. Rows with a null
 language are never learned from. Without any labelled row all predictions are `und`.
-Repeated rows each get a row. An empty table gives an empty result.
+Repeated rows each get a row. An empty table gives an empty result. Columns of any name
+are carried along; lang_pred, score and rejected are replaced. Of languages that tie the
+first by name is chosen. A very long text is scored in pieces of PIECE characters.
 """
 
 from __future__ import annotations
@@ -29,7 +31,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from .common import widened
+from .common import unused, widened
 
 ORDER, MAX_ROWS, PIECE, REJECT = 4, 400, 1 << 20, 0.995
 TOP = (1 << 63) - 1  # the largest hash that a draw compares
@@ -156,12 +158,14 @@ class Model:
         return [self.langs[b] if ok else "und" for b, ok in zip(best, has)], score, ~has | (h.min(axis=1) > self.limit)
 
 
-def _order(seqs: list[np.ndarray], order: int) -> list[dict[str, np.ndarray]]:
-    """By language: the distinct n-grams' hashes, counts, and hashes of their contexts and endings."""
+def _order(seqs: list[tuple[np.ndarray, np.ndarray]], order: int) -> list[dict[str, np.ndarray]]:
+    """By language: the distinct n-grams' hashes, counts, and hashes of their contexts and endings. None reaches from one text into the next."""
     out = []
-    for c in seqs:
+    for c, of in seqs:
         h = hashes(c, order)
-        keys, first, n = np.unique(h, return_index=True, return_counts=True)
+        inside = np.nonzero(of[order - 1 :] == of[: len(h)])[0]
+        keys, first, n = np.unique(h[inside], return_index=True, return_counts=True)
+        first = inside[first]
         short = hashes(c, order - 1) if order > 1 else np.zeros(len(c) + 1, U)
         out.append({"keys": keys, "n": n, "context": short[first], "ending": short[first + 1]})
     return out
@@ -172,8 +176,8 @@ def train(texts: dict[str, list[str]]) -> Model:
     model = Model(langs)
     if not langs:
         return model
-    seqs = [characters(texts[name])[0] for name in langs]
-    model.floor = float(-np.log(len(np.unique(np.concatenate(seqs))) + 1))
+    seqs = [characters(texts[name]) for name in langs]
+    model.floor = float(-np.log(len(np.unique(np.concatenate([c for c, _ in seqs]))) + 1))
     orders = {k: _order(seqs, k) for k in range(1, ORDER + 1)}
     for k in range(1, ORDER + 1):
         stats = []
@@ -249,4 +253,4 @@ def predict(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
             lang, score, rejected = shared.value.predict(b.column(len(names)).to_pylist())
             yield pa.RecordBatch.from_arrays([*b.columns[:-1], pa.array(lang, pa.string()), pa.array(score), pa.array(rejected)], schema=pa.schema([*list(b.schema)[:-1], ("lang_pred", pa.string()), ("score", pa.float64()), ("rejected", pa.bool_())]))
 
-    return base.select(*[base[c] for c in names], base[text].alias("__text")).mapInArrow(run, schema)
+    return base.select(*[base[c] for c in names], base[text].alias(unused(base, "text_"))).mapInArrow(run, schema)
