@@ -4,7 +4,8 @@ Writing: one record a page, payload as the block. Of pages with one payload of a
 least min_bytes bytes, those with the largest page_id are responses and the others
 revisits of it, which have no block. Spark's text writer with the record end as its
 line end writes the files, so its commit protocol covers lost tasks. Each holds at
-most max_records records, which bounds what one file asks of a reader.
+most max_records records. Files are plain, not compressed, so any reader of WARC can
+start at any record, and Spark reads a large one in several tasks.
 
 Reading: the text reader with the magic as its line end deals out what stands
 between two magics; a chunk's offset is the sum of the lengths before it. From each
@@ -14,7 +15,9 @@ reaches; the rest is payload. A record that is one chunk is digested where it is
 read; only files with a record of several chunks are read again to join these.
 
 Nulls: a null html is the empty payload; a null page_id is kept, and revisits the
-largest page_id with its payload if there is one. Pages that tie for the largest
+largest page_id with its payload if there is one. A payload is one row, whatever its
+length; one with the magic inside is joined from its pieces. Columns of other names are
+not read. Pages that tie for the largest
 page_id of a payload are all responses. An empty table gives empty archives and an
 empty result.
 """
@@ -65,7 +68,7 @@ def write(pages: DataFrame, scratch: Scratch, name: str = "archive", min_bytes:
     )
     path = f"{scratch.path}/{name}"
     out = rec.select(F.concat(head, F.when(F.col("revisit"), "").otherwise(F.col("html"))))
-    out.write.mode("overwrite").option("lineSep", END).option("compression", "gzip").option("maxRecordsPerFile", max_records).text(path)
+    out.write.mode("overwrite").option("lineSep", END).option("maxRecordsPerFile", max_records).text(path)
     return path
 
 
