@@ -272,15 +272,17 @@ def repeats(docs: DataFrame, scratch: Scratch, doc_id: str = "doc_id", text: str
     """A row for each document: doc_id, component_id (the least id linked to it, itself included), n_links (paragraphs it shares), n_remove and remove (word spans that another document keeps)."""
     spark = docs.sparkSession
     all_ = scratch.save(paragraphs(docs, doc_id, text), "paragraphs")
-    owner = all_.groupBy("content").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last"))
-    lines = all_.where("bands IS NOT NULL").groupBy("content").agg(F.min("doc_id").alias("first"), F.first("bands").alias("bands"))
-    lines = scratch.save(lines, "lines")
+    span = F.min("doc_id").alias("first"), F.max("doc_id").alias("last")
+    twice = scratch.save(all_.groupBy("content").agg(*span).where("first < last"), "twice")
+    lines = scratch.save(all_.where("bands IS NOT NULL").groupBy("content").agg(*span, F.first("bands").alias("bands")), "lines")
     alike = components(spark, similar_lines(lines, all_.where("bands IS NOT NULL").select("content", "shingles"), scratch), Scratch(spark, "op10-lines")).withColumnRenamed("node", "content")
-    of = alike.join(owner, "content")
+    # A line's owners; a window of another document may equal the line.
+    of = alike.join(lines.select("content", F.col("first").alias("f"), F.col("last").alias("l")), "content").join(twice, "content", "left")
+    of = scratch.save(of.select("content", "root", F.coalesce("first", "f").alias("first"), F.coalesce("last", "l").alias("last")), "alike")
     clusters = of.groupBy("root").agg(F.min("first").alias("keeper"), F.max("last").alias("final"))
     of = scratch.save(of.join(clusters, "root").where("keeper < final").select("content", "keeper"), "clusters")
     # A content is shared if equal or similar ones are in another document.
-    alone = owner.where("first < last").select("content", "first").join(of, "content", "left_anti").withColumnRenamed("first", "keeper")
+    alone = twice.select("content", "first").join(of, "content", "left_anti").withColumnRenamed("first", "keeper")
     owner = scratch.save(of.unionByName(alone), "owners")
     mine = scratch.save(all_.select("doc_id", "at", "n", "content", "proof").join(owner, "content"), "shared")
     scratch.drop("paragraphs")
@@ -300,7 +302,7 @@ def repeats(docs: DataFrame, scratch: Scratch, doc_id: str = "doc_id", text: str
     )
     per = per.join(found.select(F.col("node").alias("doc_id"), "root"), "doc_id", "left").mapInArrow(_merged, per_schema(docs, doc_id))
     per = scratch.save(per, "per-document")
-    for name in ("lines", "similar", "clusters", "owners", "shared", "torn", "shared-apart"):
+    for name in ("twice", "lines", "similar", "alike", "clusters", "owners", "shared", "torn", "shared-apart"):
         scratch.drop(name)
     ids = docs.select(docs[doc_id].alias("doc_id")).join(per, "doc_id", "left")
     remove = F.coalesce("remove", F.array().cast("array<struct<at:int,to:int>>"))
