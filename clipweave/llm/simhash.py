@@ -12,11 +12,10 @@ Fingerprints that share a key are candidates; pairs whose largest coordinate
 difference exceeds the limit go, survivors are verified. Distinct fingerprints are
 compared, whatever their number of copies.
 
-A key that more than BLOCK fingerprints share is divided by the next pivot table: its
+A key that more than BLOCK[0] fingerprints share is divided by a second pivot table: its
 pivots are masks that pair the bits otherwise, with keys made in the same way, and pairs
-within the limit agree on one of those too. TABLES has three pairings, so a key that
-stays crowded fixes most counts of all three, and its fingerprints crowd around each
-other. Pivots are then taken around the data: every fingerprint at distance 0 or 1 from
+within the limit agree on one of those too. A key that more than BLOCK[1] still share
+fixes most counts of both, and its fingerprints crowd around each other. Pivots are then taken around the data: every fingerprint at distance 0 or 1 from
 one of them is a pivot, and two of them are within 2 if and only if both are within 1
 of the same pivot: 65 rows each, linked through a minimum. So no step emits the pairs of
 a large group, whatever its size, and none drops any.
@@ -41,10 +40,10 @@ from pyspark.sql import functions as F
 from .common import Scratch
 from .components import components
 
-SHINGLE, SEED, LIMIT, BLOCK = 3, 42, 2, 64
+SHINGLE, SEED, LIMIT, BLOCK = 3, 42, 2, (64, 16)
 MASKS = [3 << 2 * j for j in range(32)]
 #: Pairings of the bits, one a table.
-TABLES = [MASKS, [(1 | 1 << 32) << j for j in range(32)], [1 << j | 1 << 63 - j for j in range(32)]]
+TABLES = [MASKS, [(1 | 1 << 32) << j for j in range(32)]]
 GROUPS = [range(0, 7), range(7, 14), range(14, 20), range(20, 26), range(26, 32)]
 
 
@@ -110,9 +109,9 @@ def links(spark: SparkSession, fps: DataFrame, scratch: Scratch) -> DataFrame:
     for level, masks in enumerate(TABLES):
         keyed = scratch.save(_keyed(rows, masks), f"keyed-{level}")
         shared = scratch.save(keyed.groupBy("key").agg(F.count("*").alias("n")).where("n > 1"), f"shared-{level}")
-        out.append(_verified(keyed.join(shared.where(F.col("n") <= BLOCK), "key")))
-        rows = keyed.join(shared.where(F.col("n") > BLOCK), "key", "left_semi")
-        if shared.where(F.col("n") > BLOCK).isEmpty():
+        out.append(_verified(keyed.join(shared.where(F.col("n") <= BLOCK[level]), "key")))
+        rows = keyed.join(shared.where(F.col("n") > BLOCK[level]), "key", "left_semi")
+        if shared.where(F.col("n") > BLOCK[level]).isEmpty():
             break
     else:
         crowd = rows.select("fp").distinct()

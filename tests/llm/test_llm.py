@@ -232,7 +232,7 @@ def brute_fingerprint(text):
     return sum(1 << b for b in range(64) if 2 * sum(h >> b & 1 for h in hs) > len(hs)) if hs else 0
 
 
-@pytest.mark.parametrize("block", [2, 64])
+@pytest.mark.parametrize("block", [(2, 2), (64, 16)])
 def test_simhash(spark, monkeypatch, block):
     monkeypatch.setattr(simhash, "BLOCK", block)
     base = "one two three four five six seven eight nine ten"

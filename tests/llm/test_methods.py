@@ -34,7 +34,7 @@ def linked(values, near):
     return label
 
 
-@pytest.mark.parametrize("block", [1, 3, 64])
+@pytest.mark.parametrize("block", [(1, 1), (3, 2), (3, 64), (64, 16)])
 def test_crowded_fingerprints_link_like_all_pairs(spark, monkeypatch, block):
     monkeypatch.setattr(simhash, "BLOCK", block)
     rng = np.random.default_rng(4)
