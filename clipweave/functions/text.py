@@ -61,8 +61,27 @@ def language(code: Column, aliases: dict[str, str], supported: set[str]) -> Colu
     return F.when(code.rlike("^[a-zA-Z]{2,3}$"), out)
 
 
+def plain_path(path: Column) -> Column:
+    """Without `.`, empty and, with what they undo, `..` steps; an absolute path does not climb above its root."""
+    steps = F.filter(F.split(path, "/"), lambda x: (x != "") & (x != "."))
+    up = lambda kept, x: (x == "..") & (F.size(kept) > 0) & (F.coalesce(F.try_element_at(kept, F.lit(-1)), F.lit("..")) != "..")
+    out = F.aggregate(steps, F.array().cast("array<string>"), lambda kept, x: F.when(up(kept, x), F.slice(kept, 1, F.size(kept) - 1)).when((x == "..") & path.startswith("/"), kept).otherwise(F.array_append(kept, x)))
+    return F.concat(F.when(path.startswith("/"), F.lit("/")).otherwise(""), F.array_join(out, "/"))
+
+
+def decimal_comma(number: Column, places: int = 2) -> Column:
+    """A number with so many places after a comma."""
+    return F.regexp_replace(F.format_string(f"%.{places}f", number), r"\.", ",")
+
+
+def closes(text: Column) -> Column:
+    """Whether the text ends with one of the three plain marks, a line's end apart."""
+    return F.coalesce(text.rlike(r"[.!?]\n?\z"), F.lit(False))
+
+
 def relative(path: Column, root: str) -> Column:
-    """Relative to the root where inside it, else unchanged."""
+    """Relative to the root where inside it once `..` is resolved; else the path, so resolved."""
+    path = plain_path(path)
     at = root.rstrip("/") + "/"
     return F.when(path.startswith(at), F.substr(path, F.lit(len(at) + 1))).otherwise(path)
 

@@ -7,30 +7,91 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
+from clipweave.functions.text import sentence_end
+
+
+def joined(texts: list[str], separators: list[str]) -> str:
+    """Words with what separates each from the next; the last one's separator is left out."""
+    return "".join(t + x for t, x in zip(texts, [*separators[:-1], ""]))
+
+
+def joined_words(pos: str = "pos", text: str = "text", separator: str = "separator_after") -> Column:
+    """The same as an aggregate of rows."""
+    rows = F.array_sort(F.collect_list(F.struct(F.col(pos).alias("p"), F.col(text).alias("t"), F.col(separator).alias("s"))))
+    return F.array_join(F.transform(rows, lambda x, i: F.when(i + 1 < F.size(rows), F.concat(x["t"], x["s"])).otherwise(x["t"])), "")
+
+
+def flattened(transcripts: DataFrame, *keys: str) -> DataFrame:
+    """Transcripts with an array of words to a row a word: the keys, pos, text, start, end, separator_after, ends."""
+    rows = transcripts.select(*keys, F.posexplode("words").alias("pos", "w"))
+    return rows.select(*keys, F.col("pos").cast("long").alias("pos"), "w.text", "w.start", "w.end", "w.separator_after", sentence_end(F.col("w.text")).alias("ends"))
+
+
+def _separated(words: DataFrame) -> DataFrame:
+    return words if "separator_after" in words.columns else words.withColumn("separator_after", F.lit(" "))
+
 
 def word_segments(words: DataFrame, least: float = 10.0) -> DataFrame:
-    """Words (video, pos, text, start, end, ends) to segments: closed by a word that ends a sentence once least seconds are reached; the rest is one more."""
+    """Words (video, pos, text, start, end, ends and, unless it is a blank, separator_after) to segments: closed by a word that ends a sentence once least seconds are reached; the rest is one more."""
 
     def fold(rows: pd.DataFrame) -> pd.DataFrame:
         out, held, start = [], [], None
+
+        def close(r):
+            out.append((r.video, len(out), joined(*map(list, zip(*held))), start, r.end))
+
         for r in rows.sort_values("pos").itertuples():
             start = r.start if start is None else start
-            held.append(r.text)
+            held.append((r.text, r.separator_after))
             if r.ends and r.end - start >= least:
-                out.append((r.video, len(out), " ".join(held), start, r.end))
+                close(r)
                 held, start = [], None
         if held:
-            out.append((r.video, len(out), " ".join(held), start, r.end))
+            close(r)
         return pd.DataFrame(out, columns=["video", "order", "content", "start", "end"])
 
-    return words.groupBy("video").applyInPandas(fold, "video long, order int, content string, start double, end double")
+    kind = words.schema["video"].dataType.simpleString()
+    return _separated(words).groupBy("video").applyInPandas(fold, f"video {kind}, order int, content string, start double, end double")
 
 
 def chunks(words: DataFrame) -> DataFrame:
-    """Words to chunks that end at each sentence end."""
+    """Words to chunks that end at each sentence end: video, order, content, start, end, n_words."""
     w = W.partitionBy("video").orderBy("pos")
     island = F.coalesce(F.sum(F.col("ends").cast("int")).over(w.rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
-    return words.withColumn("order", island).groupBy("video", "order").agg(F.min("start").alias("start"), F.max("end").alias("end"), F.count("*").alias("n_words"))
+    rows = _separated(words).withColumn("order", island).groupBy("video", "order")
+    return rows.agg(joined_words().alias("content"), F.min_by("start", "pos").alias("start"), F.max_by("end", "pos").alias("end"), F.count("*").alias("n_words"))
+
+
+def transcript_chunks(transcripts: DataFrame) -> DataFrame:
+    """video, order, content, start, end of transcripts (video, words, segments): the service's own segments where it gives any, else sentences."""
+    own = transcripts.where(F.size("segments") > 0).select("video", F.posexplode("segments").alias("order", "s"))
+    own = own.select("video", F.col("order").cast("long").alias("order"), F.col("s.text").alias("content"), "s.start", "s.end")
+    rest = flattened(transcripts.where(F.coalesce(F.size("segments"), F.lit(0)) <= 0), "video")
+    return own.unionByName(chunks(rest).select("video", F.col("order").cast("long").alias("order"), "content", "start", "end"))
+
+
+def renumbered(segments: DataFrame, video: str, *order) -> DataFrame:
+    """The segments with order from 0 on, by the columns given."""
+    return segments.withColumn("order", (F.row_number().over(W.partitionBy(video).orderBy(*order)) - 1).cast("long"))
+
+
+def goes_on(words: DataFrame, pause: float = 0.7) -> DataFrame:
+    """With goes_on: whether the next one of the video begins less than pause seconds after the end."""
+    after = F.lead("start").over(W.partitionBy("video").orderBy("pos"))
+    return words.withColumn("goes_on", F.coalesce(after - F.col("end") < pause, F.lit(False)))
+
+
+def cluster_spans(members: DataFrame) -> DataFrame:
+    """(video_index, cluster_id, duration, content) of clusters' segments (video_index, cluster_id, segment_index, content, start, end)."""
+    text = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("segment_index", "content"))), lambda x: x["content"]), " ")
+    return members.groupBy("video_index", "cluster_id").agg(F.round(F.max("end") - F.min("start"), 6).alias("duration"), text.alias("content"))
+
+
+def shortest_cover(members: DataFrame, spans: DataFrame) -> DataFrame:
+    """Of every segment the cluster of the least duration that has it; the first wins ties."""
+    rank = F.row_number().over(W.partitionBy("video_index", "segment_index").orderBy("duration", "cluster_id"))
+    rows = members.join(spans.select("video_index", "cluster_id", "duration"), ["video_index", "cluster_id"]).withColumn("r", rank)
+    return rows.where("r = 1").select("video_index", "segment_index", "cluster_id")
 
 
 def merge_topics(segments: DataFrame, longest: float | None = None) -> DataFrame:
@@ -45,7 +106,7 @@ def merge_topics(segments: DataFrame, longest: float | None = None) -> DataFrame
                 out.append([r.video, len(out), r.topic, r.start, r.end, r.content])
         return pd.DataFrame(out, columns=["video", "order", "topic", "start", "end", "content"])
 
-    return segments.groupBy("video").applyInPandas(fold, "video long, order int, topic string, start double, end double, content string")
+    return segments.groupBy("video").applyInPandas(fold, f"video {segments.schema['video'].dataType.simpleString()}, order int, topic string, start double, end double, content string")
 
 
 def fuse(segments: DataFrame, longest: float | None) -> DataFrame:
@@ -60,7 +121,7 @@ def fuse(segments: DataFrame, longest: float | None) -> DataFrame:
                 out.append([r.video, len(out), r.topic, r.start, r.end, r.content])
         return pd.DataFrame(out, columns=["video", "order", "topic", "start", "end", "content"])
 
-    return segments.groupBy("video").applyInPandas(fold, "video long, order int, topic string, start double, end double, content string")
+    return segments.groupBy("video").applyInPandas(fold, f"video {segments.schema['video'].dataType.simpleString()}, order int, topic string, start double, end double, content string")
 
 
 def overlapping(segments: DataFrame, least: float = 10.0, ratio: float = 0.5, pause: float = 0.7) -> DataFrame:
@@ -92,7 +153,7 @@ def overlapping(segments: DataFrame, least: float = 10.0, ratio: float = 0.5, pa
                 n, run = n + 1, seed(run)
         return pd.DataFrame(out, columns=["video", "cluster_id", "order"])
 
-    return segments.groupBy("video").applyInPandas(fold, "video long, cluster_id int, order long")
+    return segments.groupBy("video").applyInPandas(fold, f"video {segments.schema['video'].dataType.simpleString()}, cluster_id int, order long")
 
 
 def until(segments: DataFrame, second: Column, slack: float = 1) -> DataFrame:

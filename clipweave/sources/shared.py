@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 from collections.abc import Callable
@@ -10,9 +11,11 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def keeper(spark: SparkSession) -> Callable[[DataFrame, str], DataFrame]:
-    """A function that writes a table and reads it again, which cuts its lineage. Only where spark.checkpoint.dir is unset (tests) a folder is made."""
+    """A function that writes a table and reads it again, which cuts its lineage. Only where spark.checkpoint.dir is unset and Spark runs in one process (tests) a folder is made."""
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
+        if not re.match(r"local(\[|$)", spark.conf.get("spark.master", "")):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         base = tempfile.mkdtemp(prefix="clipweave-")
         spark.conf.set("spark.checkpoint.dir", base)
     path = f"{base.rstrip('/')}/summary-{uuid.uuid4().hex}"

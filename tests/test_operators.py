@@ -103,7 +103,10 @@ def test_text_rules(spark):
     assert df.select(tx.collapsed(F.col("t")), tx.clock(F.col("s")), tx.clock(F.lit(59.0))).first()[:] == ("Hi there, you (now)!", "1 day, 2:03:04.500000", "0:00:59")
 
 
-@pytest.mark.parametrize("bad", [("", "text", {}), ('{"a": 1, "a": 2}', "topics", {}), ('{"9": "x"}', "topic", {"topic_ids": ["0"]}), ("[]", "string_list", {}), ('{"q": 1}', "answers", {"answer_ids": ["q"]}), ("{'a': 'x', 'a': 'y'}", "topics", {}), ("nope", "pattern", {"pattern": "x+"})])
+@pytest.mark.parametrize("bad", [("", "text", {}), ('{"a": 1, "a": 2}', "topics", {}), ('{"9": "x"}', "topic", {"topic_ids": ["0"]}), ("[]", "string_list", {}), ('{"q": 1}', "answers", {"answer_ids": ["q"]}), ("{'a': 'x', 'a': 'y'}", "topics", {}), ("nope", "pattern", {"pattern": "x+"}),
+    ("{1: 'a', True: 'b'}", "topics", {}), ("{u'a': 'x', 'a': 'y'}", "topics", {}), ("{[1]: 'a'}", "topics", {}), ("{**{}}", "topics", {}), ("f()", "topics", {}), ('{"topics": [{"id": 0, "label": "a"}]}', "topics", {}), ('{"topics": [{"id": "0", "label": "a", "more": 1}]}', "topics", {}),
+    ('{" ": "a"}', "topics", {}), ('{"a": " "}', "topics", {}), ('{"a": "x", "b": "y"}', "topics", {"max_items": 1}), ('{"answers": [{"id": "q", "answer": true}, {"id": "q", "answer": null}]}', "answers", {"answer_ids": ["q"]}), ('{"q": true, "r": false}', "answers", {"answer_ids": ["q", "r"], "max_items": 1}),
+    ('{"items": ["x"], "more": 1}', "string_list", {}), ('("x",)', "string_list", {}), ('{"0": "a", "1": "b"}', "topic", {"topic_ids": ["0", "1"]}), ("[" * 100_000, "topics", {})])
 def test_answers_rejected(bad):
     text, kind, spec = bad
     with pytest.raises(Invalid):
@@ -111,12 +114,24 @@ def test_answers_rejected(bad):
 
 
 def test_answers_read():
-    assert interpret('```json\n{"topics": [{"id": 0, "label": " a "}]}\n```', "topics") == {"0": "a"}
+    assert interpret('```json\n{"topics": [{"id": "0", "label": " a "}]}\n```', "topics") == {"0": " a "}
+    assert interpret('{"topics": [{"id": "0", "label": "a"}], "note": 1}', "topics", max_items=1) == {"0": "a"}
+    assert interpret("{'7': 'x'}", "topic", topic_ids=["7", "8"]) == {"7": "x"} == interpret('{"id": "7", "label": "x"}', "topic", topic_ids=["7"])
     assert interpret("{'q': None, 'r': True}", "answers", answer_ids=["q", "r"]) == {"q": None, "r": True}
     assert interpret('{"items": ["x"]}', "string_list") == ["x"]
     assert interpret("ab12cd", "pattern", pattern=r"\d+") == "12"
 
 
+def test_requests_that_no_answer_can_meet(spark):
+    from clipweave.functions.interpret import BadRequest, interpreted
+
+    for kind, spec in (("pattern", {}), ("pattern", {"pattern": "("}), ("poem", {})):
+        with pytest.raises(BadRequest):
+            interpret("x", kind, **spec)
+        with pytest.raises(BadRequest):
+            interpreted(F.lit("x"), kind, **spec)
+
+
 def test_keyframes_need_new_matches(spark):
     from clipweave.operators.visual import keyframes
 
