@@ -98,3 +98,10 @@ def backoff(attempt: Column, base: float = 1.0, cap: float = 10.0) -> Column:
 def topic_limit(seconds: Column, least: float = 3, scale: float = 0.5, exponent: float = 2) -> Column:
     """How many topics a video of this length may have at most."""
     return F.ceil(F.lit(float(least)) + F.lit(float(scale)) * (F.pow(F.ceil(seconds / 60).cast("double"), F.lit(float(exponent))) - 1)).cast("long")
+
+
+def label_of(ident: Column, labels: dict[str, str]) -> Column:
+    """The label of an id; null for an unknown one."""
+    if not labels:
+        return F.lit(None).cast("string")
+    return F.try_element_at(F.create_map(*[F.lit(x) for kv in sorted(labels.items()) for x in kv]), ident)

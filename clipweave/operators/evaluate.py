@@ -24,3 +24,8 @@ def classification_report(rows: DataFrame, actual: str, predicted: str) -> DataF
         F.struct(F.lit("weighted avg").alias("name"), *[(F.sum(F.col(c) * F.col("support")) / F.nullif(total, F.lit(0))).alias(c) for c in cols], total.alias("support")).alias("z"),
     ).select(F.explode(F.array("x", "y", "z")).alias("r")).select("r.*")
     return classes.unionByName(summary)
+
+
+def duplicate_ids(rows: DataFrame, group: str, ident: str) -> DataFrame:
+    """The groups in which an id stands twice."""
+    return rows.groupBy(group).agg(F.count("*").alias("n"), F.count_distinct(ident).alias("k")).where("n <> k").select(group)

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Row
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
@@ -54,6 +54,43 @@ def word_segments(words: DataFrame, least: float = 10.0) -> DataFrame:
     return _separated(words).groupBy("video").applyInPandas(fold, f"video {kind}, order int, content string, start double, end double")
 
 
+@F.udtf(returnType="video long, order int, content string, start double, end double")
+class SegmentWords:
+    """word_segments as a table function: words partitioned by video, ordered by pos, and the least seconds."""
+
+    def __init__(self):
+        self.held, self.start, self.n, self.video, self.end = [], None, 0, None, None
+
+    def row(self):
+        return self.video, self.n, joined(*map(list, zip(*self.held))), self.start, self.end
+
+    def eval(self, word: Row, least: float):
+        self.video, self.end = word["video"], word["end"]
+        self.start = word["start"] if self.start is None else self.start
+        self.held.append((word["text"], word["separator_after"]))
+        if word["ends"] and self.end - self.start >= least:
+            yield self.row()
+            self.held, self.start, self.n = [], None, self.n + 1
+
+    def terminate(self):
+        if self.held:
+            yield self.row()
+
+
+def word_segments_function(words: DataFrame, least: float = 10.0) -> DataFrame:
+    """word_segments by the table function, which needs no array of a video's words."""
+    rows = _separated(words).select(F.col("video").cast("long").alias("video"), "pos", "text", "start", "end", "ends", "separator_after")
+    return SegmentWords(rows.asTable().partitionBy("video").orderBy("pos"), F.lit(float(least)))
+
+
+def topics_in_order(rows: DataFrame) -> DataFrame:
+    """(video, topics, before): every video's topics (video, pos, topic) in order, repeats kept, and how many stand before them in the list of all videos' topics. One task sees a row a video; no list holds them all."""
+    own = rows.groupBy("video").agg(F.transform(F.array_sort(F.collect_list(F.struct("pos", "topic"))), lambda x: x["topic"]).alias("topics"))
+    upto = F.sum("n").over(W.orderBy("v").rowsBetween(W.unboundedPreceding, -1))
+    places = own.select(F.col("video").alias("v"), F.size("topics").alias("n")).select("v", F.coalesce(upto, F.lit(0)).cast("long").alias("before"))
+    return own.join(places, F.col("video") == F.col("v")).drop("v")
+
+
 def chunks(words: DataFrame) -> DataFrame:
     """Words to chunks that end at each sentence end: video, order, content, start, end, n_words."""
     w = W.partitionBy("video").orderBy("pos")

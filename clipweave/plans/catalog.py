@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -10,9 +11,12 @@ from pyspark.sql import Window as W
 
 from clipweave.functions import frames as fr
 from clipweave.functions import text as tx
+from clipweave.functions.align import transcribed
 from clipweave.functions.interpret import interpreted
+from clipweave.functions.prompts import Prompts
 from clipweave.operators import evaluate, redundancy, segmentation, selection, state, visual
 from clipweave.plans import summary
+from clipweave.plans.segmenters import WordSegmenter
 from clipweave.sources.shared import keeper
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -23,7 +27,7 @@ SEG = """seg AS (SELECT conv_id AS video_index, turn AS segment_index, coalesce(
   CAST(sum(length(coalesce(text, ''))) OVER (PARTITION BY conv_id ORDER BY turn) AS DOUBLE) / 15 AS "end" FROM conversations)"""
 #: Timed words of events: seconds since the user's first event; a purchase ends a sentence.
 WORDS = """words AS (SELECT user_id AS video, row_number() OVER w - 1 AS pos, event_type AS text, epoch_us(ts) / 1e6 - epoch_us(min(ts) OVER (PARTITION BY user_id)) / 1e6 AS start,
-  epoch_us(ts) / 1e6 - epoch_us(min(ts) OVER (PARTITION BY user_id)) / 1e6 + least(value, 5.0) AS "end", event_type = 'purchase' AS ends FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id))"""
+  epoch_us(ts) / 1e6 - epoch_us(min(ts) OVER (PARTITION BY user_id)) / 1e6 + least(value, 5.0) AS "end", event_type = 'purchase' AS ends, CASE WHEN event_type = 'view' THEN '' ELSE ' ' END AS separator_after FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id))"""
 
 
 def _query(sql: str | None = None):
@@ -51,7 +55,7 @@ def _words(spark, d) -> DataFrame:
     w, ts = W.partitionBy("user_id"), F.col("ts").cast("timestamp")
     t = F.unix_micros(ts) / 1e6 - F.min(F.unix_micros(ts)).over(w) / 1e6
     e = _table(spark, d, "events")
-    return e.select(F.col("user_id").alias("video"), (F.row_number().over(w.orderBy("ts", "event_id")) - 1).cast("long").alias("pos"), F.col("event_type").alias("text"), t.alias("start"), (t + F.least("value", F.lit(5.0))).alias("end"), (F.col("event_type") == "purchase").alias("ends"))
+    return e.select(F.col("user_id").alias("video"), (F.row_number().over(w.orderBy("ts", "event_id")) - 1).cast("long").alias("pos"), F.col("event_type").alias("text"), t.alias("start"), (t + F.least("value", F.lit(5.0))).alias("end"), (F.col("event_type") == "purchase").alias("ends"), F.when(F.col("event_type") == "view", "").otherwise(" ").alias("separator_after"))
 
 
 _TFIDF = """tok AS (SELECT video_index, segment_index, unnest(regexp_extract_all(lower(content), '[\\p{L}\\p{N}_]{2,}')) AS token FROM seg),
@@ -77,7 +81,14 @@ def adaptive_threshold(spark, d):
     return redundancy.adaptive_threshold(_segments(spark, d)).select(F.round("set_time", 6).alias("set_time"), F.round("threshold", 6).alias("threshold"))
 
 
-@_query()
+@_query(_PAIRS.replace("WITH ", "WITH RECURSIVE ", 1) + """, best AS (SELECT v1 || ':' || s1 AS a, v2 || ':' || s2 AS b, row_number() OVER (ORDER BY v2, s2, v1, s1) AS i FROM (SELECT * FROM pairs QUALIFY value = max(value) OVER (PARTITION BY v1, v2))),
+fold AS (SELECT 0::BIGINT AS i, 0::BIGINT AS n, MAP {}::MAP(VARCHAR, BIGINT) AS known, []::STRUCT(c BIGINT, k VARCHAR)[] AS added
+UNION ALL SELECT b.i, f.n + (f.known[b.a] IS NULL AND f.known[b.b] IS NULL)::INT,
+  map_concat(f.known, CASE WHEN f.known[b.a] IS NOT NULL THEN MAP {b.b: f.known[b.a]} WHEN f.known[b.b] IS NOT NULL THEN MAP {b.a: f.known[b.b]} ELSE MAP {b.a: f.n} END),
+  CASE WHEN f.known[b.a] IS NOT NULL THEN [{'c': f.known[b.a], 'k': b.b}] WHEN f.known[b.b] IS NOT NULL THEN [{'c': f.known[b.b], 'k': b.a}] ELSE [{'c': f.n, 'k': b.a}, {'c': f.n, 'k': b.b}] END
+  FROM fold f JOIN best b ON b.i = f.i + 1),
+cl AS (SELECT DISTINCT x.c AS cluster_id, CAST(split_part(x.k, ':', 1) AS BIGINT) AS video_index, CAST(split_part(x.k, ':', 2) AS BIGINT) AS segment_index FROM (SELECT unnest(added) AS x FROM fold))
+SELECT cluster_id, video_index, segment_index FROM cl""")
 def redundancy_clusters(spark, d):
     return redundancy.clusters(content_redundancy_pairs(spark, d))
 
@@ -89,7 +100,7 @@ def topic_clusters(spark, d):
 
 @_query(f"WITH {SEG} SELECT count(DISTINCT video_index) AS videos, count(*) AS segments, round(sum(\"end\" - start), 6) AS seconds FROM seg")
 def summary_metrics(spark, d):
-    return _segments(spark, d).agg(F.count_distinct("video_index").alias("videos"), F.count("*").alias("segments"), F.round(F.sum(F.col("end") - F.col("start")), 6).alias("seconds"))
+    return summary.metrics(_segments(spark, d))
 
 
 @_query(f"WITH {SEG} SELECT video_index, segment_index FROM (SELECT *, bool_and(round_even(\"end\", 0) <= 61) OVER (PARTITION BY video_index ORDER BY segment_index) AS ok FROM seg) WHERE ok")
@@ -145,8 +156,8 @@ def frames_in_segments(spark, d):
 @_query(f"WITH {SEG} SELECT video_index, f AS frame_no FROM (SELECT video_index, unnest(generate_series(0, CAST(floor(max(\"end\")) AS BIGINT) * 30)) AS f FROM seg GROUP BY video_index) WHERE f % 60 = 0 AND f / 30.0 BETWEEN 3 AND 90")
 def frame_sampling(spark, d):
     ends = _segments(spark, d).groupBy("video_index").agg(F.floor(F.max("end")).alias("m"))
-    frames = ends.select("video_index", F.explode(F.sequence(F.lit(0).cast("long"), F.col("m") * 30)).alias("frame_no"))
-    return frames.where((F.col("frame_no") % 60 == 0) & (F.col("frame_no") / 30).between(3, 90))
+    videos = ends.select("video_index", F.lit(30.0).alias("fps"), (F.col("m") * 30 + 1).alias("n_frames"))
+    return selection.sample_frames(videos, 0.5, 3, 90).select("video_index", "frame_no")
 
 
 @_query("SELECT user_id AS segment, sum(CASE WHEN event_type <> 'error' AND value > 50 THEN 1 ELSE 0 END) / 40.0::DOUBLE AS ratio FROM events GROUP BY user_id HAVING sum(CASE WHEN event_type <> 'error' AND value > 50 THEN 1 ELSE 0 END) / 40.0::DOUBLE >= 0.5")
@@ -180,8 +191,7 @@ _COVER = f"""{SEG}, clusters AS (SELECT video_index, cluster_id, min(start) AS a
 
 def _clusters(spark, d):
     s = _segments(spark, d).withColumn("cluster_id", F.explode(F.array(F.floor(F.col("segment_index") / 2), F.floor(F.col("segment_index") / 3) + 100)))
-    joined = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("segment_index", "content"))), lambda x: x["content"]), " ")
-    return s, s.groupBy("video_index", "cluster_id").agg(F.round(F.max("end") - F.min("start"), 6).alias("duration"), joined.alias("content"))
+    return s, segmentation.cluster_spans(s)
 
 
 @_query(f"WITH {_COVER} SELECT video_index, cluster_id, round(duration, 6) AS duration, length(content) AS chars FROM clusters")
@@ -191,9 +201,7 @@ def cluster_durations(spark, d):
 
 @_query(f"WITH {_COVER}, m AS (SELECT video_index, segment_index, unnest([segment_index // 2, segment_index // 3 + 100]) AS cluster_id FROM seg) SELECT video_index, segment_index, cluster_id FROM m JOIN clusters USING (video_index, cluster_id) QUALIFY row_number() OVER (PARTITION BY video_index, segment_index ORDER BY round(duration, 6), cluster_id) = 1")
 def shortest_covering_cluster(spark, d):
-    member, made = _clusters(spark, d)
-    rank = F.row_number().over(W.partitionBy("video_index", "segment_index").orderBy("duration", "cluster_id"))
-    return member.join(made.select("video_index", "cluster_id", "duration"), ["video_index", "cluster_id"]).withColumn("r", rank).where("r = 1").select("video_index", "segment_index", "cluster_id")
+    return segmentation.shortest_cover(*_clusters(spark, d))
 
 
 @_query("""WITH r AS (SELECT CAST(quality AS VARCHAR) AS a, CASE WHEN n_chars > 1000 THEN '1' ELSE '0' END AS p FROM labels JOIN documents USING (doc_id)),
@@ -217,11 +225,10 @@ def value_counts(spark, d):
 
 @_query("SELECT conv_id FROM conversations GROUP BY conv_id HAVING count(*) <> count(DISTINCT role)")
 def duplicate_ids(spark, d):
-    ids = _table(spark, d, "conversations").groupBy("conv_id").agg(F.count("*").alias("n"), F.count_distinct("role").alias("k"))
-    return ids.where("n <> k").select("conv_id")
+    return evaluate.duplicate_ids(_table(spark, d, "conversations"), "conv_id", "role")
 
 
-_LOG = """log AS (SELECT row_number() OVER (ORDER BY ts, event_id) AS seq, user_id AS segment, CASE event_type WHEN 'click' THEN 'include' WHEN 'error' THEN 'discard' WHEN 'purchase' THEN 'output' ELSE 'pick' END AS action FROM events WHERE event_id % 25 = 0)"""
+_LOG = """log AS (SELECT row_number() OVER (ORDER BY ts, event_id) AS seq, user_id AS segment, CASE event_type WHEN 'click' THEN 'include' WHEN 'error' THEN 'discard' WHEN 'purchase' THEN 'output' ELSE 'pick' END AS action FROM events)"""
 _STATE = f"""WITH {_LOG}, o AS (SELECT *, min(CASE WHEN action = 'output' THEN seq END) OVER (PARTITION BY segment) AS first_out FROM log WHERE action <> 'pick'),
 l AS (SELECT * FROM o WHERE (action <> 'discard' OR first_out IS NULL OR seq < first_out) AND (action <> 'output' OR seq = first_out)),
 s AS (SELECT segment, arg_max(action, seq) = 'include' AS included, arg_max(action, seq) = 'discard' AS discarded, max(first_out) IS NOT NULL AS outputted FROM l GROUP BY segment)"""
@@ -243,28 +250,28 @@ def finalized_output(spark, d):
     return state.finalize(decision_state(spark, d)).select("segment")
 
 
-_OUT = "picked AS (SELECT * FROM seg WHERE segment_index = 1)"
+#: A summary's choice: what is said, questions and answers alike, in order.
+_OUT = "picked AS (SELECT * FROM seg WHERE topic <> 'system')"
 
 
 def _picked(spark, d):
-    return _segments(spark, d).where("segment_index = 1")
+    return _segments(spark, d).where("topic <> 'system'")
 
 
-@_query(f"WITH {SEG}, {_OUT} SELECT row_number() OVER (ORDER BY video_index) AS pos, 'v' || video_index AS video_path, round(start, 6) AS start, round(\"end\", 6) AS \"end\", round(coalesce(sum(\"end\" - start) OVER (ORDER BY video_index ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0), 6) AS out_start FROM picked")
+@_query(f"WITH {SEG}, {_OUT} SELECT row_number() OVER w AS pos, 'v' || video_index AS video_path, round(start, 6) AS start, round(\"end\", 6) AS \"end\", round(coalesce(sum(\"end\" - start) OVER (w ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0), 6) AS out_start FROM picked WINDOW w AS (ORDER BY video_index, segment_index)")
 def edit_list(spark, d):
-    rows = _picked(spark, d).select(F.row_number().over(W.orderBy("video_index")).cast("long").alias("pos"), F.concat(F.lit("v"), F.col("video_index").cast("string")).alias("video_path"), "start", "end")
+    rows = state.positioned(_picked(spark, d), "video_index", "segment_index").withColumn("video_path", F.concat(F.lit("v"), F.col("video_index").cast("string")))
     return state.edit_list(rows).select("pos", "video_path", *[F.round(c, 6).alias(c) for c in ("start", "end", "out_start")])
 
 
 @_query(f"WITH {SEG}, {_OUT} SELECT count(*) AS segments, string_agg(DISTINCT topic, ',' ORDER BY topic) AS topics FROM picked")
 def summary_video(spark, d):
-    return _picked(spark, d).agg(F.count("*").alias("segments"), F.array_join(F.array_sort(F.collect_set("topic")), ",").alias("topics"))
+    return summary.result(_picked(spark, d), "topic")
 
 
 @_query(f"WITH {SEG} SELECT video_index, segment_index, row_number() OVER (PARTITION BY video_index ORDER BY start DESC, segment_index DESC) - 1 AS \"order\" FROM seg")
 def renumbered(spark, d):
-    w = W.partitionBy("video_index").orderBy(F.desc("start"), F.desc("segment_index"))
-    return _segments(spark, d).select("video_index", "segment_index", (F.row_number().over(w) - 1).cast("long").alias("order"))
+    return segmentation.renumbered(_segments(spark, d).select("video_index", "segment_index", "start"), "video_index", F.desc("start"), F.desc("segment_index")).drop("start")
 
 
 @_query("SELECT event_id, CASE WHEN d = 0 THEN '' WHEN d = 1 THEN '1 day, ' ELSE d || ' days, ' END || (r // 3600000000) || ':' || lpad(CAST((r // 60000000) % 60 AS VARCHAR), 2, '0') || ':' || lpad(CAST((r // 1000000) % 60 AS VARCHAR), 2, '0') || CASE WHEN r % 1000000 = 0 THEN '' ELSE '.' || lpad(CAST(r % 1000000 AS VARCHAR), 6, '0') END AS clock FROM (SELECT event_id, m // 86400000000 AS d, m % 86400000000 AS r FROM (SELECT event_id, CAST(round(value * 1000 * 1000000) AS BIGINT) AS m FROM events))")
@@ -272,17 +279,18 @@ def clock_text(spark, d):
     return _table(spark, d, "events").select("event_id", tx.clock(F.col("value") * 1000).alias("clock"))
 
 
-@_query(f"WITH {WORDS} SELECT video, string_agg(text || CASE WHEN ends THEN '.' ELSE '' END, ' ' ORDER BY pos) AS content FROM words GROUP BY video")
+_JOINED = "sha256(string_agg(text || CASE WHEN pos = last THEN '' ELSE separator_after END, '' ORDER BY pos)) AS content"
+
+
+@_query(f"WITH {WORDS} SELECT video, {_JOINED} FROM (SELECT *, max(pos) OVER (PARTITION BY video) AS last FROM words) GROUP BY video")
 def words_text(spark, d):
-    word = F.concat("text", F.when(F.col("ends"), ".").otherwise(""))
-    joined = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("pos", word.alias("t")))), lambda x: x["t"]), " ")
-    return _words(spark, d).groupBy("video").agg(joined.alias("content"))
+    return _words(spark, d).groupBy("video").agg(F.sha2(segmentation.joined_words(), 256).alias("content"))
 
 
-@_query("SELECT page_id, CASE WHEN page_id % 2 = 0 THEN url ELSE '/other/' || url END AS portable FROM pages")
+@_query("SELECT page_id, CASE page_id % 3 WHEN 0 THEN u WHEN 1 THEN '/other/' || u ELSE '/up/' || u END AS portable FROM (SELECT page_id, rtrim(regexp_replace(url, '/+', '/', 'g'), '/') AS u FROM pages)")
 def portable_paths(spark, d):
-    path = F.concat(F.when(F.col("page_id") % 2 == 0, "/root/").otherwise("/other/"), F.col("url"))
-    return _table(spark, d, "pages").select("page_id", tx.relative(path, "/root").alias("portable"))
+    inside = F.when(F.col("page_id") % 3 == 0, "/root/./x/../").when(F.col("page_id") % 3 == 1, "/other/").otherwise("/root/../up/")
+    return _table(spark, d, "pages").select("page_id", tx.relative(F.concat(inside, F.col("url")), "/root").alias("portable"))
 
 
 @_query(f"WITH {SEG} SELECT video_index, segment_index FROM seg WHERE NOT EXISTS (SELECT 1 FROM seg o WHERE o.topic = 'system' AND o.video_index = seg.video_index AND o.segment_index IS NOT DISTINCT FROM seg.segment_index)")
@@ -301,21 +309,33 @@ def live_pairs(spark, d):
     return pairs
 
 
-@_query(f"WITH {SEG} SELECT video_index, segment_index, regexp_matches(content, '[.!?。！？][\"''”’»)\\]}}\\p{{Pe}}\\p{{Pf}}\\s]*$') AS ends FROM seg")
+@_query(f"WITH {SEG} SELECT video_index, segment_index, regexp_matches(content, '[.!?。！？][\"''”’»)\\]}}\\p{{Pe}}\\p{{Pf}}\\s]*$') AS ends, regexp_matches(content, '[.!?]\\n?\\z') AS closes FROM seg")
 def sentence_ends(spark, d):
-    return _segments(spark, d).select("video_index", "segment_index", tx.sentence_end(F.col("content")).alias("ends"))
+    return _segments(spark, d).select("video_index", "segment_index", tx.sentence_end(F.col("content")).alias("ends"), tx.closes(F.col("content")).alias("closes"))
 
 
-@_query(f"WITH {WORDS}, i AS (SELECT *, coalesce(sum(ends::INT) OVER (PARTITION BY video ORDER BY pos ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS o FROM words) SELECT video, CAST(o AS BIGINT) AS \"order\", round(min(start), 6) AS start, round(max(\"end\"), 6) AS \"end\", count(*) AS n_words FROM i GROUP BY video, o")
+@_query(f"WITH {WORDS}, i AS (SELECT *, coalesce(sum(ends::INT) OVER (PARTITION BY video ORDER BY pos ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS o FROM words) SELECT video, CAST(o AS BIGINT) AS \"order\", round(arg_min(start, pos), 6) AS start, round(arg_max(\"end\", pos), 6) AS \"end\", count(*) AS n_words, {_JOINED} FROM (SELECT *, max(pos) OVER (PARTITION BY video, o) AS last FROM i) GROUP BY video, o")
 def transcript_chunks(spark, d):
-    return segmentation.chunks(_words(spark, d)).select("video", F.col("order").cast("long").alias("order"), F.round("start", 6).alias("start"), F.round("end", 6).alias("end"), "n_words")
+    return segmentation.chunks(_words(spark, d)).select("video", F.col("order").cast("long").alias("order"), F.round("start", 6).alias("start"), F.round("end", 6).alias("end"), "n_words", F.sha2("content", 256).alias("content"))
+
+
+_WALK = f"""WITH RECURSIVE {WORDS}, walk AS (SELECT video, pos, start AS seg_start, start, "end", ends, text, separator_after, 0::BIGINT AS o FROM words WHERE pos = 0
+UNION ALL SELECT n.video, n.pos, CASE WHEN w.ends AND w."end" - w.seg_start >= 86400 THEN n.start ELSE w.seg_start END, n.start, n."end", n.ends, n.text, n.separator_after, w.o + CASE WHEN w.ends AND w."end" - w.seg_start >= 86400 THEN 1 ELSE 0 END FROM walk w JOIN words n ON n.video = w.video AND n.pos = w.pos + 1)
+SELECT video, o AS "order", round(min(start), 6) AS start, round(arg_max("end", pos), 6) AS "end", {_JOINED} FROM (SELECT *, max(pos) OVER (PARTITION BY video, o) AS last FROM walk) GROUP BY video, o"""
+
+
+def _cut(rows):
+    return rows.select("video", F.col("order").cast("long").alias("order"), F.round("start", 6).alias("start"), F.round("end", 6).alias("end"), F.sha2("content", 256).alias("content"))
 
 
-@_query(f"""WITH RECURSIVE {WORDS}, walk AS (SELECT video, pos, start AS seg_start, start, "end", ends, 0::BIGINT AS o FROM words WHERE pos = 0
-UNION ALL SELECT n.video, n.pos, CASE WHEN w.ends AND w."end" - w.seg_start >= 86400 THEN n.start ELSE w.seg_start END, n.start, n."end", n.ends, w.o + CASE WHEN w.ends AND w."end" - w.seg_start >= 86400 THEN 1 ELSE 0 END FROM walk w JOIN words n ON n.video = w.video AND n.pos = w.pos + 1)
-SELECT video, o AS "order", round(min(start), 6) AS start, round(arg_max("end", pos), 6) AS "end" FROM walk GROUP BY video, o""")
+@_query(_WALK)
 def word_segments(spark, d):
-    return segmentation.word_segments(_words(spark, d), 86400).select("video", F.col("order").cast("long").alias("order"), F.round("start", 6).alias("start"), F.round("end", 6).alias("end"))
+    return _cut(segmentation.word_segments(_words(spark, d), 86400))
+
+
+@_query(_WALK)
+def word_segments_function(spark, d):
+    return _cut(segmentation.word_segments_function(_words(spark, d), 86400))
 
 
 _ISLES = f"""WITH {WORDS}, c AS (SELECT *, CASE WHEN lag(text) OVER (PARTITION BY video ORDER BY pos) = text THEN 0 ELSE 1 END AS new FROM words), g AS (SELECT *, sum(new) OVER (PARTITION BY video ORDER BY pos) - 1 AS o FROM c)"""
@@ -325,25 +345,51 @@ def _topical(spark, d):
     return _words(spark, d).select("video", "pos", F.col("text").alias("topic"), "start", "end", F.col("text").alias("content"))
 
 
-@_query(f"{_ISLES} SELECT video, CAST(o AS BIGINT) AS \"order\", any_value(text) AS topic, round(min(start), 6) AS start, round(arg_max(\"end\", pos), 6) AS \"end\" FROM g GROUP BY video, o")
+_CONTENT = "sha256(string_agg(text, ' ' ORDER BY pos)) AS content"
+
+
+def _merged(rows):
+    return rows.select("video", F.col("order").cast("long").alias("order"), "topic", F.round("start", 6).alias("start"), F.round("end", 6).alias("end"), F.sha2("content", 256).alias("content"))
+
+
+@_query(f"{_ISLES} SELECT video, CAST(o AS BIGINT) AS \"order\", any_value(text) AS topic, round(arg_min(start, pos), 6) AS start, round(arg_max(\"end\", pos), 6) AS \"end\", {_CONTENT} FROM g GROUP BY video, o")
 def merged_topics(spark, d):
-    return segmentation.merge_topics(_topical(spark, d)).select("video", F.col("order").cast("long").alias("order"), "topic", F.round("start", 6).alias("start"), F.round("end", 6).alias("end"))
+    return _merged(segmentation.merge_topics(_topical(spark, d)))
 
 
-@_query()
+def _joining(rule: str) -> str:
+    """Neighbours of one topic joined while a rule on w, the segment so far, and n, the next word, holds."""
+    return f"""WITH RECURSIVE {WORDS}, walk AS (SELECT video, pos, text, start AS a, "end" AS b, start, 0::BIGINT AS o FROM words WHERE pos = 0
+UNION ALL SELECT n.video, n.pos, n.text, CASE WHEN n.text = w.text AND {rule} THEN w.a ELSE n.start END, n."end", n.start, w.o + CASE WHEN n.text = w.text AND {rule} THEN 0 ELSE 1 END FROM walk w JOIN words n ON n.video = w.video AND n.pos = w.pos + 1)
+SELECT video, o AS "order", any_value(text) AS topic, round(arg_min(start, pos), 6) AS start, round(arg_max(b, pos), 6) AS "end", {_CONTENT} FROM walk GROUP BY video, o"""
+
+
+@_query(_joining('n."end" - w.a <= 90000'))
+def merged_topics_limited(spark, d):
+    return _merged(segmentation.merge_topics(_topical(spark, d), 90000.0))
+
+
+@_query(_joining('w.b - w.a + n."end" - n.start < 40000'))
 def fused_segments(spark, d):
-    return segmentation.fuse(_topical(spark, d), 3600.0)
+    return _merged(segmentation.fuse(_topical(spark, d), 40000.0))
 
 
-@_query()
+_STEP = """CASE WHEN w.closed THEN least(w.pos, coalesce((SELECT max(x.pos) + 1 FROM words x JOIN words y ON y.video = x.video AND y.pos = x.pos + 1
+  WHERE x.video = w.video AND x.pos > w.a AND x.pos < w.pos AND abs(w.b - x.start - 43200) > abs(w.b - y.start - 43200)), w.a + 1)) ELSE w.a END"""
+
+
+@_query(f"""WITH RECURSIVE {WORDS}, k AS (SELECT video, pos, start, "end", ends, coalesce(lead(start) OVER (PARTITION BY video ORDER BY pos) - "end" < 3600, false) AS goes_on, pos = max(pos) OVER (PARTITION BY video) AS is_last FROM words),
+walk AS (SELECT video, pos, 0::BIGINT AS a, "end" AS b, 0::BIGINT AS c, NOT is_last AND NOT goes_on AND ends AND "end" - start >= 86400 AS closed, is_last FROM k WHERE pos = 0
+UNION ALL SELECT n.video, n.pos, g.a, n."end", w.c + w.closed::INT, NOT n.is_last AND NOT n.goes_on AND n.ends AND n."end" - f.start >= 86400, n.is_last
+  FROM walk w JOIN k n ON n.video = w.video AND n.pos = w.pos + 1, LATERAL (SELECT {_STEP} AS a) g JOIN k f ON f.video = n.video AND f.pos = g.a)
+SELECT w.video, CAST(w.c AS INTEGER) AS cluster_id, k.pos AS "order" FROM walk w JOIN k ON k.video = w.video AND k.pos BETWEEN w.a AND w.pos WHERE w.closed OR w.is_last""")
 def overlapping_clusters(spark, d):
-    return segmentation.overlapping(_words(spark, d), 86400.0)
+    return segmentation.overlapping(_words(spark, d), 86400.0, pause=3600)
 
 
 @_query(f"WITH {WORDS} SELECT video, pos, coalesce(lead(start) OVER (PARTITION BY video ORDER BY pos) - \"end\" < 3600, false) AS goes_on FROM words")
 def pauses(spark, d):
-    w = W.partitionBy("video").orderBy("pos")
-    return _words(spark, d).select("video", "pos", F.coalesce(F.lead("start").over(w) - F.col("end") < 3600, F.lit(False)).alias("goes_on"))
+    return segmentation.goes_on(_words(spark, d), 3600).select("video", "pos", "goes_on")
 
 
 @_query(f"WITH {SEG} SELECT video_index, CAST(ceil(3 + 0.5 * (pow(ceil(max(\"end\") / 60), 2) - 1)) AS BIGINT) AS topics FROM seg GROUP BY video_index")
@@ -354,13 +400,12 @@ def topic_limits(spark, d):
 
 @_query("SELECT doc_id, CASE lang WHEN 'en' THEN 'English' WHEN 'de' THEN 'German' END AS label FROM documents")
 def topic_labels(spark, d):
-    names = F.create_map(F.lit("en"), F.lit("English"), F.lit("de"), F.lit("German"))
-    return _table(spark, d, "documents").select("doc_id", F.try_element_at(names, F.col("lang")).alias("label"))
+    return _table(spark, d, "documents").select("doc_id", tx.label_of(F.col("lang"), {"en": "English", "de": "German"}).alias("label"))
 
 
-@_query("SELECT doc_id, sha256(regexp_replace(regexp_replace(regexp_replace(regexp_replace(text, '^[\\s\\p{Z}\\x{85}\\x{0B}]+|[\\s\\p{Z}\\x{85}\\x{0B}]+$', '', 'g'), '[\\s\\p{Z}\\x{85}\\x{0B}]+', ' ', 'g'), ' ([,.;:!?…%)\\]}”»])', '\\1', 'g'), '([(\\[{¿¡“«]) ', '\\1', 'g')) AS clean FROM documents")
+@_query("SELECT doc_id, sha256(regexp_replace(regexp_replace(regexp_replace(regexp_replace(text, '^[\\s\\p{Z}\\x{85}\\x{0B}]+|[\\s\\p{Z}\\x{85}\\x{0B}]+$', '', 'g'), '[\\s\\p{Z}\\x{85}\\x{0B}]+', ' ', 'g'), ' ([,.;:!?…%)\\]}”»])', '\\1', 'g'), '([(\\[{¿¡“«]) ', '\\1', 'g')) AS clean, sha256(regexp_replace(text, '^[\\s\\p{Z}\\x{85}\\x{0B}]+|[\\s\\p{Z}\\x{85}\\x{0B}]+$', '', 'g')) AS stripped FROM documents")
 def collapsed_text(spark, d):
-    return _table(spark, d, "documents").select("doc_id", F.sha2(tx.collapsed(F.col("text")), 256).alias("clean"))
+    return _table(spark, d, "documents").select("doc_id", F.sha2(tx.collapsed(F.col("text")), 256).alias("clean"), F.sha2(tx.stripped(F.col("text")), 256).alias("stripped"))
 
 
 @_query("SELECT doc_id, CASE lang WHEN 'fr' THEN 'fra' WHEN 'en' THEN 'en' ELSE lang END AS sent FROM documents")
@@ -381,24 +426,100 @@ def backoff_seconds(spark, d):
     return _table(spark, d, "nation").select("n_nationkey", tx.backoff(n).alias("llm"), tx.backoff(n, cap=30.0).alias("stt"))
 
 
-@_query()
+#: What a model may say about an event, and what is read of it: a table of cases, one for each remainder of event_id; ~ stands for a single quote.
+_ANSWERS = [
+    ("""'{"topics": [{"id": "a", "label": "' || event_type || '"}]}'""", """'{"a": "' || event_type || '"}'"""),
+    ("""'```json' || chr(10) || '{"a": "' || event_type || '"}' || chr(10) || '```'""", """'{"a": "' || event_type || '"}'"""),
+    ("""'{~b~: ~' || event_type || '~, "a": "x"}'""", """'{"a": "x", "b": "' || event_type || '"}'"""),
+    ("""'{"a": "x", "a": "' || event_type || '"}'""", None),
+    ("""'{1: ~x~, True: ~' || event_type || '~}'""", None),
+    ("""'{"topics": [{"id": 1, "label": "' || event_type || '"}]}'""", None),
+    ("""'{"topics": [{"id": "1", "label": "x", "note": "' || event_type || '"}]}'""", None),
+    ("""'{"a": "x", "b": "x", "c": "' || event_type || '"}'""", None),  # one more than asked for
+    ("""'I think it is ' || event_type""", None),
+    ("props", None),  # labels that are numbers
+    ("'  '", None),
+]
+
+
+@_query("SELECT event_id, value, value IS NOT NULL AS fits FROM (SELECT event_id, CASE event_id % " + str(len(_ANSWERS)) + " " + " ".join(f"WHEN {k} THEN {want or 'NULL'}" for k, (_, want) in enumerate(_ANSWERS)) + " END AS value FROM events)")
 def interpreted_answers(spark, d):
-    rows = _table(spark, d, "events").select("event_id", interpreted(F.col("props"), "topics").alias("r"))
-    return rows.select("event_id", "r.value", "r.error")
+    said = F.expr("replace(CASE event_id % " + str(len(_ANSWERS)) + " " + " ".join(f"WHEN {k} THEN {text}" for k, (text, _) in enumerate(_ANSWERS)) + " END, '~', chr(39))")
+    rows = _table(spark, d, "events").select("event_id", interpreted(said, "topics", max_items=2).alias("r"))
+    return rows.select("event_id", "r.value", F.col("r.error").isNull().alias("fits"))
 
 
-@_query("""WITH e AS (SELECT label AS grp, vec_id % 2 AS frame, vec_id AS kp, embedding FROM embeddings WHERE vec_id < 400),
+_TOKENS = "tokens AS (SELECT user_id AS video, row_number() OVER w - 1 AS pos, count(*) OVER (PARTITION BY user_id) AS n, event_type AS word, event_type = 'purchase' AS ends, CASE WHEN event_type = 'view' THEN '' ELSE ' ' END AS separator_after, epoch_us(ts) / 1e6 - epoch_us(min(ts) OVER (PARTITION BY user_id)) / 1e6 AS start FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id))"
+
+
+def _responses(spark, d) -> DataFrame:
+    """What a hosted service might say: typed words, an event after the third, full stops only in the text."""
+    w = _words(spark, d).withColumn("n", F.count("*").over(W.partitionBy("video")))
+    said = F.concat("text", F.when(F.col("ends"), ".").otherwise(""), F.when(F.col("pos") + 1 < F.col("n"), F.col("separator_after")).otherwise(""))
+    token = F.struct(F.lit("word").alias("type"), F.col("text").alias("text"), F.col("start"), F.col("start").alias("end"))
+    noise = F.struct(F.lit("audio_event").alias("type"), F.lit("(noise)").alias("text"), F.col("start"), F.col("start").alias("end"))
+    at = F.col("pos") == 2
+    rows = w.groupBy("video").agg(F.array_sort(F.collect_list(F.struct("pos", F.when(at, F.array(token, noise)).otherwise(F.array(token)).alias("tokens"), F.when(at, F.concat(said, F.lit("(noise)"))).otherwise(said).alias("said")))).alias("x"))
+    text = F.array_join(F.transform("x", lambda r: r["said"]), "")
+    return rows.select("video", F.to_json(F.struct(text.alias("text"), F.lit("en").alias("language_code"), F.flatten(F.transform("x", lambda r: r["tokens"])).alias("words"))).alias("response"))
+
+
+def _transcripts(spark, d) -> DataFrame:
+    return _responses(spark, d).select("video", transcribed(F.col("response"), "hosted").alias("t")).select("video", "t.*")
+
+
+@_query(f"WITH {_TOKENS} SELECT video, pos, word || CASE WHEN ends THEN '.' ELSE '' END AS text, round(start, 6) AS start, CASE WHEN pos + 1 = n THEN ' ' ELSE separator_after END AS separator_after, ends FROM tokens")
+def aligned_transcripts(spark, d):
+    rows = segmentation.flattened(_transcripts(spark, d), "video")
+    return rows.select("video", "pos", "text", F.round("start", 6).alias("start"), "separator_after", "ends")
+
+
+class _Told:
+    """A model that names the topics it is told and picks one by the content's length."""
+
+    def __call__(self, prompt: str) -> str:
+        kind, _, rest = prompt.partition("|")
+        if kind == "merge":
+            return json.dumps({"items": sorted(set(json.loads(rest)))})
+        cells, _, content = rest.partition("|")
+        if kind == "topics":
+            return json.dumps({"topics": [{"id": str(k), "label": f"t{(k + len(content)) % 3}"} for k in range(min(3, int(cells)))]})
+        ids = sorted(json.loads(cells))
+        return json.dumps({ids[len(content) % len(ids)]: "said otherwise"})
+
+
+_TOLD = Prompts(subtopics="topics|{most}|{transcript}", classify="classify|{topics}|{content}", merge_topics="merge|{topics}")
+
+
+@_query(f"""WITH RECURSIVE {_TOKENS}, w AS (SELECT video, pos, n, word || CASE WHEN ends THEN '.' ELSE '' END AS text, CASE WHEN pos + 1 = n THEN ' ' ELSE separator_after END AS separator_after, ends, start FROM tokens),
+doc AS (SELECT video, length(string_agg(text || CASE WHEN pos + 1 = n THEN '' ELSE separator_after END, '' ORDER BY pos)) + coalesce(max(CASE WHEN pos = 2 THEN 0 END), 0) AS chars FROM w GROUP BY video),
+walk AS (SELECT video, pos, start AS a, start, ends, text, separator_after, 0::BIGINT AS o FROM w WHERE pos = 0
+UNION ALL SELECT n.video, n.pos, CASE WHEN k.ends AND k.start - k.a >= 86400 THEN n.start ELSE k.a END, n.start, n.ends, n.text, n.separator_after, k.o + (k.ends AND k.start - k.a >= 86400)::INT FROM walk k JOIN w n ON n.video = k.video AND n.pos = k.pos + 1),
+seg AS (SELECT video, o, min(start) AS start, max(start) AS "end", string_agg(text || CASE WHEN pos = last THEN '' ELSE separator_after END, '' ORDER BY pos) AS content FROM (SELECT *, max(pos) OVER (PARTITION BY video, o) AS last FROM walk) GROUP BY video, o),
+lab AS (SELECT seg.*, 't' || ((length(content) % 3 + chars) % 3) AS topic FROM seg JOIN doc USING (video)),
+new AS (SELECT *, CASE WHEN lag(topic) OVER (PARTITION BY video ORDER BY o) = topic THEN 0 ELSE 1 END AS fresh FROM lab),
+isle AS (SELECT *, sum(fresh) OVER (PARTITION BY video ORDER BY o) - 1 AS g FROM new),
+done AS (SELECT video, g, any_value(topic) AS video_topic, min(start) AS start, max("end") AS "end", string_agg(content, ' ' ORDER BY o) AS content FROM isle GROUP BY video, g)
+SELECT video, CAST(g AS BIGINT) AS "order", video_topic, 't' || (length(content) % 3) AS global_topic, 'v' || video AS video_path, round(start, 6) AS start, round("end", 6) AS "end", sha256(content) AS content FROM done""")
+def segmented_videos(spark, d):
+    heard = keeper(spark)(_transcripts(spark, d), "transcripts")
+    videos = heard.select("video", F.concat(F.lit("v"), F.col("video").cast("string")).alias("path"), F.array().cast("array<string>").alias("topics"), F.lit(600.0).alias("seconds"))
+    rows = WordSegmenter(_Told, keeper(spark), least=86400.0, prompts=_TOLD).with_global_topics(videos, heard)
+    return rows.select("video", "order", "video_topic", "global_topic", "video_path", F.round("start", 6).alias("start"), F.round("end", 6).alias("end"), F.sha2("content", 256).alias("content"))
+
+
+@_query("""WITH e AS (SELECT label AS grp, vec_id % 2 AS frame, vec_id AS kp, embedding FROM embeddings),
 p AS (SELECT a.grp * 2 AS fa, b.grp * 2 + 1 AS fb, a.kp AS ka, b.kp AS kb, round(list_sum(list_transform(list_zip(a.embedding, b.embedding), lambda z: z[1]::DOUBLE * z[2]::DOUBLE)), 9) AS s FROM e a JOIN e b ON a.grp = b.grp AND a.frame = 0 AND b.frame = 1)
-SELECT fa, fb, count(*) AS matches FROM (SELECT *, row_number() OVER (PARTITION BY fa, ka, fb ORDER BY s DESC, kb) AS ra, row_number() OVER (PARTITION BY fa, fb, kb ORDER BY s DESC, ka) AS rb FROM p) WHERE ra = 1 AND rb = 1 AND s >= 0.5 GROUP BY fa, fb""")
+SELECT fa, fb, count(*) AS matches FROM (SELECT *, row_number() OVER (PARTITION BY fa, ka, fb ORDER BY s DESC, kb) AS ra, row_number() OVER (PARTITION BY fa, fb, kb ORDER BY s DESC, ka) AS rb FROM p) WHERE ra = 1 AND rb = 1 AND s >= 0.2 GROUP BY fa, fb""")
 def mutual_neighbours(spark, d):
     e = _table(spark, d, "embeddings").select(F.col("label").alias("group"), (F.col("vec_id") % 2).alias("side"), F.col("vec_id").alias("kp"), F.col("embedding").alias("vec"))
     side = lambda k: e.where(F.col("side") == k).withColumn("frame", F.col("group") * 2 + k)
-    return selection.mutual_matches(side(0), side(1), 0.5)
+    return selection.mutual_matches(side(0), side(1), 0.2)
 
 
 @_query("SELECT event_id, replace(printf('%.2f', value), '.', ',') AS value FROM events")
 def decimal_commas(spark, d):
-    return _table(spark, d, "events").select("event_id", F.regexp_replace(F.format_string("%.2f", "value"), r"\.", ",").alias("value"))
+    return _table(spark, d, "events").select("event_id", tx.decimal_comma(F.col("value")).alias("value"))
 
 
 @_query("SELECT doc_id FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM labels)")
@@ -406,10 +527,9 @@ def resume_unlabelled(spark, d):
     return _table(spark, d, "documents").select("doc_id").join(_table(spark, d, "labels").select("doc_id"), "doc_id", "left_anti")
 
 
-@_query("SELECT string_agg(role, ',' ORDER BY conv_id, turn) AS topics FROM conversations")
+@_query("SELECT conv_id, string_agg(role, ',' ORDER BY turn) AS topics, CAST(sum(count(*)) OVER (ORDER BY conv_id) - count(*) AS BIGINT) AS before FROM conversations GROUP BY conv_id")
 def all_topics(spark, d):
-    rows = F.array_sort(F.collect_list(F.struct("conv_id", "turn", "role")))
-    return _table(spark, d, "conversations").agg(F.array_join(F.transform(rows, lambda x: x["role"]), ",").alias("topics"))
+    return segmentation.topics_in_order(_table(spark, d, "conversations").select(F.col("conv_id").alias("video"), F.col("turn").alias("pos"), F.col("role").alias("topic"))).select(F.col("video").alias("conv_id"), F.array_join("topics", ",").alias("topics"), "before")
 
 
 @_query("SELECT min(doc_id) AS doc_id, count(*) AS copies FROM documents GROUP BY text, lang HAVING count(*) > 1")
@@ -417,13 +537,41 @@ def equal_segments(spark, d):
     return _table(spark, d, "documents").groupBy(F.sha2("text", 256).alias("k"), "lang").agg(F.min("doc_id").alias("doc_id"), F.count("*").alias("copies")).where("copies > 1").select("doc_id", "copies")
 
 
-@_query()
+_FIRST = """, member AS (SELECT cl.*, seg.start FROM cl JOIN seg USING (video_index, segment_index)),
+firsts AS (SELECT DISTINCT ON (cluster_id) video_index, segment_index, start FROM member ORDER BY cluster_id, video_index, segment_index),
+included AS (SELECT *, row_number() OVER (ORDER BY video_index, segment_index) AS i FROM (SELECT DISTINCT * FROM firsts)),
+groups AS (SELECT row_number() OVER (ORDER BY cluster_id) AS i, list({'v': video_index, 'start': start} ORDER BY start, segment_index) AS m FROM member GROUP BY cluster_id),
+zipped AS (SELECT i, {'v': video_index, 's': segment_index, 'start': start} AS new, m FROM included JOIN groups USING (i)),
+line AS (SELECT 0::BIGINT AS i, []::STRUCT(v BIGINT, s BIGINT, start DOUBLE)[] AS made
+UNION ALL SELECT z.i, l.made[:p.at] || [z.new] || l.made[p.at + 1:] FROM line l JOIN zipped z ON z.i = l.i + 1,
+  LATERAL (SELECT coalesce(list_position(list_transform(l.made, lambda o: coalesce(list_filter(z.m, lambda x: x.v = o.v)[1].start, z.new.start) > o.start), false) - 1, len(l.made)) AS at) p)
+SELECT CAST(pos AS BIGINT) AS pos, x.v AS video_index, x.s AS segment_index FROM (SELECT unnest(made) AS x, unnest(range(len(made))) AS pos FROM line WHERE i = (SELECT max(i) FROM line))"""
+
+
+@_query(SQL["redundancy_clusters"].rsplit("\nSELECT ", 1)[0] + _FIRST)
 def chronological_summary(spark, d):
-    made = redundancy_clusters(spark, d).join(_segments(spark, d), ["video_index", "segment_index"])
+    made = keeper(spark)(redundancy_clusters(spark, d).join(_segments(spark, d), ["video_index", "segment_index"]), "clusters")
     first = made.groupBy("cluster_id").agg(F.min(F.struct("video_index", "segment_index", "start")).alias("m")).select("m.*").distinct()
     return selection.chronology(first, made)
 
 
+@_query(f"""WITH {SEG}, ends AS (SELECT video_index AS video, CAST(ceil(min("end")) AS BIGINT) + 20 AS second FROM seg GROUP BY video_index),
+pre AS (SELECT video_index, segment_index, second FROM (SELECT seg.*, second, bool_and(round_even("end", 0) <= second + 1) OVER (PARTITION BY video_index ORDER BY segment_index) AS ok FROM seg JOIN ends ON video = video_index) WHERE ok)
+SELECT 'Introduction' AS agent, 'discard' AS action, video_index, segment_index FROM pre
+UNION ALL SELECT 'Introduction', 'output', video_index, segment_index FROM pre WHERE video_index = (SELECT arg_min(video_index, (second, video_index)) FROM pre)""")
+def introduction_log(spark, d):
+    seg = _segments(spark, d)
+    ends = seg.groupBy(F.col("video_index").alias("video")).agg((F.ceil(F.min("end")).cast("long") + 20).alias("second"))
+    return summary.introduction(ends)(seg, spark.createDataFrame([], summary.LOG)).select("agent", "action", "video_index", "segment_index")
+
+
+@_query(f"WITH {SEG} SELECT topic, count(DISTINCT (video_index, content, start, \"end\")) AS n, arg_min(video_index, (video_index, segment_index)) AS first_video, arg_min(segment_index, (video_index, segment_index)) AS first_segment FROM seg WHERE topic <> '' AND segment_index NOT IN (0, 3) GROUP BY topic")
+def live_topic_clusters(spark, d):
+    seg = _segments(spark, d)
+    gone = lambda k, action: summary.entries(seg.where(F.col("segment_index") == k), k, "any", action)
+    return redundancy.topic_clusters(summary.live(seg, gone(0, "discard").unionByName(gone(3, "output"))), "topic")
+
+
 @_query()
 def keyframes(spark, d):
     e = _table(spark, d, "embeddings")
@@ -433,7 +581,7 @@ def keyframes(spark, d):
 @_query()
 def visual_vocabulary(spark, d):
     e = _table(spark, d, "embeddings").select("vec_id", F.col("embedding").alias("vec"))
-    return visual.visual_vocabulary(e, 20).select("vec_id", "word")
+    return visual.visual_vocabulary(e).select("vec_id", "word")
 
 
 @_query()
