@@ -161,9 +161,15 @@ def without_hits(text: Column) -> Column:
 
 def clean(docs: DataFrame, benchmark: DataFrame, scratch: Scratch, text: str = "text") -> DataFrame:
     """The documents' own columns: contaminated ones are gone, lesser hits are cut out of their texts."""
-    found = find(docs, benchmark, scratch, text)[1]
+    found = find(docs, benchmark, scratch, text)[1].select("digest", F.col("total").alias("n_words"), "hits")
     own, digest = F.struct(*[docs[c] for c in docs.columns]).alias("row"), _digest(docs[text]).alias("digest")
-    out = docs.select(own, digest).join(found.select("digest", F.col("total").alias("n_words"), "hits"), "digest", "left")
+    base = docs.select(own, digest)
+    if found.count() <= BROADCAST // 4:  # then texts without a hit need not move
+        keys = F.broadcast(found.select("digest"))
+        dirty = base.join(keys, "digest", "left_semi").join(found, "digest")
+        out = base.join(keys, "digest", "left_anti").select("row", F.lit(None).cast("long").alias("n_words"), F.lit(None).cast("array<int>").alias("hits")).unionByName(dirty.select("row", "n_words", "hits"))
+    else:
+        out = base.join(found, "digest", "left")
     new = F.when(F.size("hits") > 0, without_hits(F.col(f"row.`{text}`"))).otherwise(F.col(f"row.`{text}`"))
     out = out.where(F.col("hits").isNull() | ~contaminated())
     return out.select(*[new.alias(c) if c == text else F.col(f"row.`{c}`").alias(c) for c in docs.columns])

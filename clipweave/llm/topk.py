@@ -93,7 +93,7 @@ def search(index: DataFrame, queries: DataFrame, k: int = 10, segment: int | Non
             found = reduce(DataFrame.unionByName, met)
         else:
             probe = _masks(open_.select("q", "worst", F.posexplode(_segments(F.col("q"), w)).alias("j", "own")), w, s)
-            found = probe.select("q", "worst", "j", F.col("own").bitwiseXOR(F.col("mask")).alias("value")).join(keyed, ["j", "value"])
+            found = probe.select("q", "worst", "j", F.col("own").bitwiseXOR(F.col("mask")).alias("value")).join(keyed.hint("merge"), ["j", "value"])  # Spark takes the exploded side for small and would broadcast it
         found = found.withColumn("d", F.bit_count(F.col("q").bitwiseXOR(F.col("code")))).where("d <= worst")
         found = found.select("q", "code", "n", "least", "d")
         if best is not None:
