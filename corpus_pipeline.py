@@ -29,16 +29,16 @@ def one_of_a_kind(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
     """Of each group of near copies one row stays: of those with the least id, or without ids, one of the least digest of its text."""
     # tells texts apart where ids repeat or are null; rows with equal keys are copies of one text
     key = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", F.unhex(F.sha2("text", 256)).alias("digest"))
-    name = unused(docs, "key")
+    name, mark = unused(docs, "key"), unused(docs, "gone")
     rows, scratch = docs.withColumn(name, key), Scratch(spark, "near")
     found = simhash.classes(rows, scratch, doc_id=name).groupBy("doc_id", "component_id").agg(F.count("*").alias("n"))
-    found = scratch.save(found.select(F.col("doc_id").alias(name), (F.col("doc_id") != F.col("component_id")).alias("gone"), "n"), "keys")
+    found = scratch.save(found.select(F.col("doc_id").alias(name), (F.col("doc_id") != F.col("component_id")).alias(mark), "n"), "keys")
     # Rows that go, and keys that repeat: up to NARROW of them are broadcast, so that the other texts need not move.
-    odd = found.where("gone OR n > 1").select(name, "gone")
+    odd = found.where(F.col(mark) | (F.col("n") > 1)).select(name, mark)
     if odd.count() <= NARROW:
         odd = F.broadcast(odd)
     rows = rows.join(odd, name, "left")
-    return rows.where("gone IS NULL").unionByName(rows.where("NOT gone").dropDuplicates([name])).select(*docs.columns)
+    return rows.where(F.col(mark).isNull()).unionByName(rows.where(~F.col(mark)).dropDuplicates([name])).select(*docs.columns)
 
 
 def no_benchmarks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
