@@ -1,12 +1,14 @@
 """Scoring with an Elias-Fano n-gram trie (words, and words after a word).
 
 Level 1, in shards by leading bits of the word's XXH64: the sorted hashes as an
-Elias-Fano sequence (a word's id is its place among all), and the running sums of
-counts as another. Level 2, in shards of about equal numbers of tokens, cut by
-(context, word): the contexts' ids and the monotone pointers to their successors as
-Elias-Fano sequences, successors' ids packed, and the discounted probability of each
-quantised to 16 bits. A word after a context is searched among that context's
-successors only. Frequent contexts are spread over shards by the word.
+Elias-Fano sequence (a word's id is its place among all), the running sums of counts as
+another, and how many different words follow each. Level 2, in shards of about equal
+numbers of tokens, cut by (context, word): the contexts' ids and the monotone pointers to
+their successors as Elias-Fano sequences, the successors as a third (a successor counts
+from its context's place times the number of words on, so that all of a shard's are one
+rising sequence), and the discounted probability of each quantised to 16 bits. A word
+after a context is searched among that context's successors only. Frequent contexts are
+spread over shards by the word.
 
 The model interpolates: p(w|v) = max(c(v,w) - D, 0) / c(v) + D s(v) / c(v) p(w), with
 s(v) the number of v's distinct successors and p(w) = (c(w) + 1) / (N + V + 1). The
@@ -15,7 +17,11 @@ of the training texts and grows with them.
 
 Tasks count inside blocks of about BLOCK tokens and hand over a sorted array for each
 shard; a shard's task merges those and writes its arrays to shared storage. Scoring
-tasks map the arrays into memory and touch the pages they need.
+tasks map the arrays into memory and touch the pages they need; of a block's words and
+pairs each is looked up once, shard after shard, and up to OPEN shards stay mapped.
+
+Limits: ids have 32 bits, so fit raises beyond 2^32 different words; a count of a block
+has 32 bits. A text is one row, its tokens are held in memory, about 50 bytes each.
 
 Nulls: a null text is empty and has one token, the end; a null id is in training.
 Repeated rows count and are scored each. With no training text N and V are 0 and every
@@ -40,9 +46,9 @@ from pyspark.sql import DataFrame, Row
 from pyspark.sql import functions as F
 
 from .common import Scratch, unused, widened
-from .eliasfano import EliasFano, U, pack, search, unpack
+from .eliasfano import EliasFano, U
 
-BLOCK, DISCOUNT, STEP = 1_500_000, 0.75, 1024
+BLOCK, DISCOUNT, STEP, OPEN = 1_500_000, 0.75, 1024, 256
 END = b"\n"  # no word holds it
 
 
@@ -86,15 +92,15 @@ def _named(prefix: str, arrays: dict[str, np.ndarray]) -> dict[str, np.ndarray]:
     return {f"{prefix}-{k}": v for k, v in arrays.items()}
 
 
-@lru_cache(maxsize=4096)
+@lru_cache(maxsize=4 * OPEN)
 def _sequence(path: str, prefix: str) -> EliasFano:
     names = [f"{prefix}-{k}" for k in ("meta", "low", "high", "ones", "zeros")]
     return EliasFano({k.partition("-")[2]: v for k, v in get(path, *names).items()})
 
 
-@lru_cache(maxsize=4096)
-def _arrays(path: str) -> dict[str, np.ndarray]:
-    return get(path, "next", "code")
+@lru_cache(maxsize=OPEN)
+def _array(path: str, name: str) -> np.ndarray:
+    return get(path, name)[name]
 
 
 class Block:
@@ -163,14 +169,13 @@ class Model:
         self.v, self.n = int(self.base[-1]), int(self.start[-1])
         if self.v >= 1 << 32:
             raise ValueError("ids of words have 32 bits")
-        self.id_bits = max(1, self.v.bit_length())
 
-    def lookup(self, hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """(id or -1, count, tokens of all words before it) for each hash."""
+    def lookup(self, hashes: np.ndarray, followed: bool = False) -> tuple[np.ndarray, ...]:
+        """(id or -1, count, tokens of all words before it) for each hash; followed: also how many different words come after it."""
         order = np.argsort(hashes)
         h = hashes[order]
         shard = (h >> U(64 - self.bits)).astype(np.int64) if self.bits else np.zeros(len(h), np.int64)
-        ids, counts, sums = np.full(len(h), -1), np.zeros(len(h), np.int64), np.zeros(len(h), np.int64)
+        ids, counts, sums, after = np.full(len(h), -1), *(np.zeros(len(h), np.int64) for _ in range(3))
         for s in np.unique(shard):
             if not self.words[s]:
                 continue
@@ -180,9 +185,11 @@ class Model:
             sums_of = _sequence(f"{self.path}/1-{s}", "sum")
             low, high = sums_of.get(at[ok]).astype(np.int64), sums_of.get(at[ok] + 1).astype(np.int64)
             ids[a + ok], counts[a + ok], sums[a + ok] = at[ok] + self.base[s], high - low, low + self.start[s]
+            if followed:
+                after[a + ok] = _array(f"{self.path}/1-{s}", "after")[at[ok]]
         out = np.empty_like(order)
         out[order] = np.arange(len(order))
-        return ids[out], counts[out], sums[out]
+        return (ids[out], counts[out], sums[out], after[out]) if followed else (ids[out], counts[out], sums[out])
 
     def shard(self, sums: np.ndarray, counts: np.ndarray, word: np.ndarray | int) -> np.ndarray:
         """Of a pair: by the context's place among all tokens, and in it by the word."""
@@ -239,7 +246,29 @@ def _write_pairs(model: Model):
         p = (counts - DISCOUNT) / np.repeat(totals, many)
         put(f"{model.path}/2-{s}", _named("context", EliasFano.build(v, 1 << 32)))
         put(f"{model.path}/2-{s}", _named("pointer", EliasFano.build(np.append(first, len(keys)), len(keys) + 1)))
-        put(f"{model.path}/2-{s}", {"next": pack(keys & U(0xFFFFFFFF), model.id_bits), "code": np.round(-np.log10(p) * STEP).astype(np.uint16)})
+        put(f"{model.path}/2-{s}", _named("next", EliasFano.build(_places(np.repeat(np.arange(len(v)), many), keys, model), len(v) * model.v)))
+        put(f"{model.path}/2-{s}", {"code": np.round(-np.log10(p) * STEP).astype(np.uint16)})
+        cuts = np.searchsorted(v.astype(np.int64), model.base)
+        own = [(u, a, b) for u, (a, b) in enumerate(zip(cuts, cuts[1:])) if a < b]
+        return pd.DataFrame({"shard": [u for u, *_ in own], "keys": [(v[a:b] - U(model.base[u])).tobytes() for u, a, b in own], "counts": [many[a:b].astype(np.uint32).tobytes() for _, a, b in own]})
+
+    return run
+
+
+def _places(context: np.ndarray, keys: np.ndarray, model: Model) -> np.ndarray:
+    """Successors (the low half of a key) counted on from their context's place."""
+    return context.astype(U) * U(model.v) + (keys & U(0xFFFFFFFF))
+
+
+def _write_after(model: Model):
+    """Of a shard of level 1, the numbers of different words after each word; a frequent context's parts are added up."""
+
+    def run(rows: pd.DataFrame) -> pd.DataFrame:
+        keys, counts = _merge(rows)
+        s = int(rows["shard"].iloc[0])
+        after = np.zeros(int(model.words[s]), np.uint32)
+        after[keys.astype(np.int64)] = counts
+        put(f"{model.path}/1-{s}", {"after": after})
         return pd.DataFrame({"shard": [s], "n": [len(keys)], "total": [int(counts.sum())]})
 
     return run
@@ -256,27 +285,12 @@ def fit(docs: DataFrame, scratch: Scratch, text: str = "text", parts: int | None
     path = f"{scratch.path}/trie"
     words = texts.mapInArrow(_count_words(bits), ROWS).groupBy("shard").applyInPandas(_write_words(path, bits), SIZES)
     model = Model(path, bits, words.collect(), parts)  # a row for each shard
-    pairs = texts.mapInArrow(_count_pairs(model), ROWS).groupBy("shard").applyInPandas(_write_pairs(model), SIZES)
-    pairs.agg(F.sum("n")).collect()
+    pairs = texts.mapInArrow(_count_pairs(model), ROWS).groupBy("shard").applyInPandas(_write_pairs(model), ROWS)
+    pairs.groupBy("shard").applyInPandas(_write_after(model), SIZES).agg(F.sum("n")).collect()
     return model
 
 
-def _successors(model: Model, ids: np.ndarray, counts: np.ndarray, sums: np.ndarray) -> np.ndarray:
-    """Numbers of distinct successors of known contexts."""
-    out = np.zeros(len(ids), np.int64)
-    low, high = model.shard(sums, counts, 0), model.shard(sums, counts, model.v)
-    for s in range(model.shards):
-        on = np.nonzero((low <= s) & (s <= high))[0]
-        if not len(on) or not _exists(model, s):
-            continue
-        at = _sequence(f"{model.path}/2-{s}", "context").find(ids[on].astype(U))
-        on, at = on[at >= 0], at[at >= 0]
-        ptr = _sequence(f"{model.path}/2-{s}", "pointer")
-        out[on] += (ptr.get(at + 1) - ptr.get(at)).astype(np.int64)
-    return out
-
-
-@lru_cache(maxsize=4096)
+@lru_cache(maxsize=1 << 16)
 def _exists_at(path: str) -> bool:
     if local := _local(f"{path}.code.npy"):
         return os.path.exists(local)
@@ -297,24 +311,22 @@ def _discounted(model: Model, keys: np.ndarray, shard: np.ndarray) -> np.ndarray
         on = np.nonzero(shard == s)[0]
         path = f"{model.path}/2-{s}"
         v, of = np.unique(keys[on] >> U(32), return_inverse=True)
-        at = _sequence(path, "context").find(v)
-        ptr, arrays = _sequence(path, "pointer"), _arrays(path)
-        lo, hi = np.zeros(len(v), np.int64), np.zeros(len(v), np.int64)
-        ok = at >= 0
-        lo[ok], hi[ok] = ptr.get(at[ok]), ptr.get(at[ok] + 1)
-        got = search(lambda i, a=arrays: unpack(a["next"], model.id_bits, i), lo[of], hi[of], keys[on] & U(0xFFFFFFFF))
+        at = _sequence(path, "context").find(v)[of]
+        got = np.full(len(on), -1)
+        ok = np.nonzero(at >= 0)[0]
+        got[ok] = _sequence(path, "next").find(_places(at[ok], keys[on[ok]], model))
         hit = got >= 0
-        out[on[hit]] = 10.0 ** (-arrays["code"][got[hit]].astype(float) / STEP)
+        out[on[hit]] = 10.0 ** (-_array(path, "code")[got[hit]].astype(float) / STEP)
     return out
 
 
 def score_block(model: Model, block: Block) -> dict[str, np.ndarray]:
-    ids, counts, sums = model.lookup(block.hashes)
+    ids, counts, sums, after = model.lookup(block.hashes, followed=True)
     single = (counts + 1) / (model.n + model.v + 1)
     known_v = ids >= 0
     back = np.ones(len(ids))
     seen = np.nonzero(known_v)[0]
-    back[seen] = DISCOUNT * _successors(model, ids[seen], counts[seen], sums[seen]) / counts[seen]
+    back[seen] = DISCOUNT * after[seen] / counts[seen]
     v, w = block.before, block.tokens
     pair, of = np.unique(v << 32 | w, return_inverse=True)  # in numbers of the block
     pv, pw = pair >> 32, pair & 0xFFFFFFFF
