@@ -1,4 +1,4 @@
-"""Scoring with an Elias-Fano n-gram trie (words, and words after a word).
+"""Scoring with an Elias-Fano n-gram trie of words, pairs and, at order 3, triples of words.
 
 Level 1, in shards by leading bits of the word's XXH64: the sorted hashes as an
 Elias-Fano sequence (a word's id is its place among all), the running sums of counts as
@@ -10,13 +10,20 @@ rising sequence), and the discounted probability of each quantised to 16 bits. A
 after a context is searched among that context's successors only. Frequent contexts are
 spread over shards by the word.
 
+Level 3 is built like level 2, from the pairs on: a triple lies in the shard of its first
+two words, its context is the place of that pair in the shard, and beside each context
+stands, quantised, the weight it leaves to the shorter one. So a text is scored by
+descending: the word's id, the pair among the successors of its first word, the triple
+among the successors of the pair.
+
 The model interpolates: p(w|v) = max(c(v,w) - D, 0) / c(v) + D s(v) / c(v) p(w), with
-s(v) the number of v's distinct successors and p(w) = (c(w) + 1) / (N + V + 1). The
-end token closes a text and is the first word's context. It holds every pair of words
-of the training texts and grows with them.
+s(v) the number of v's distinct successors and p(w) = (c(w) + 1) / (N + V + 1), and
+p(w|u,v) likewise from c(u,v,w), c(u,v), s(u,v) and p(w|v). The end token closes a text
+and is the first word's only context. The trie holds every pair and triple of words of
+the training texts and grows with them.
 
 Tasks count inside blocks of about BLOCK tokens and hand over a sorted array for each
-shard; a shard's task merges those and writes its arrays to shared storage. Scoring
+shard, as differences of which the high bytes compress away; a shard's task merges those and writes its arrays to shared storage. Scoring
 tasks map the arrays into memory and touch the pages they need; of a block's words and
 pairs each is looked up once, shard after shard, and up to OPEN shards stay mapped.
 
@@ -48,7 +55,7 @@ from pyspark.sql import functions as F
 from .common import Scratch, unused, widened
 from .eliasfano import EliasFano, U
 
-BLOCK, DISCOUNT, STEP, OPEN = 1_500_000, 0.75, 1024, 256
+BLOCK, DISCOUNT, STEP, OPEN, ORDER = 1_500_000, 0.75, 1024, 256, 3
 END = b"\n"  # no word holds it
 
 
@@ -140,16 +147,26 @@ def _blocks(batches: Iterator[pa.RecordBatch], text: int) -> Iterator[tuple[pa.T
         yield pa.Table.from_batches(held), Block(texts)
 
 
+def _planes(values: np.ndarray) -> bytes:
+    """The first bytes of all values, then their second bytes, and so on."""
+    return np.ascontiguousarray(values.view(np.uint8).reshape(len(values), values.itemsize).T).tobytes()
+
+
+def _whole(raw: bytes, kind: type) -> np.ndarray:
+    size = np.dtype(kind).itemsize
+    return np.ascontiguousarray(np.frombuffer(raw, np.uint8).reshape(size, -1).T).view(kind).ravel()
+
+
 def _rows(shard: np.ndarray, keys: np.ndarray, counts: np.ndarray) -> Iterator[pa.RecordBatch]:
-    """One row for each shard of sorted keys: the keys and their counts as bytes."""
+    """One row for each shard of sorted keys: the keys' differences and their counts as bytes."""
     ids, first = np.unique(shard, return_index=True)
     for s, a, b in zip(ids, first, np.append(first[1:], len(keys))):
-        yield pa.RecordBatch.from_pydict({"shard": pa.array([s], pa.int64()), "keys": [keys[a:b].tobytes()], "counts": [counts[a:b].astype(np.uint32).tobytes()]})
+        yield pa.RecordBatch.from_pydict({"shard": pa.array([s], pa.int64()), "keys": [_planes(np.diff(keys[a:b].astype(U), prepend=U(0)))], "counts": [_planes(counts[a:b].astype(np.uint32))]})
 
 
 def _merge(rows: pd.DataFrame) -> tuple[np.ndarray, np.ndarray]:
-    keys = np.concatenate([np.frombuffer(k, U) for k in rows["keys"]])
-    counts = np.concatenate([np.frombuffer(c, np.uint32) for c in rows["counts"]])
+    keys = np.concatenate([np.cumsum(_whole(k, U), dtype=U) for k in rows["keys"]])
+    counts = np.concatenate([_whole(c, np.uint32) for c in rows["counts"]])
     order = np.argsort(keys, kind="stable")
     keys, counts = keys[order], counts[order].astype(np.int64)
     first = np.concatenate([[True], keys[1:] != keys[:-1]])
@@ -159,8 +176,8 @@ def _merge(rows: pd.DataFrame) -> tuple[np.ndarray, np.ndarray]:
 class Model:
     """Where the levels are, and their sizes; small, so it travels with the tasks."""
 
-    def __init__(self, path: str, bits: int, level1: list[Row], shards: int):
-        self.path, self.bits, self.shards = path, bits, shards
+    def __init__(self, path: str, bits: int, level1: list[Row], shards: int, order: int = ORDER):
+        self.path, self.bits, self.shards, self.order = path, bits, shards, order
         self.words, self.tokens = np.zeros(1 << bits, np.int64), np.zeros(1 << bits, np.int64)
         for r in level1:
             self.words[r.shard], self.tokens[r.shard] = r.n, r.total
@@ -250,7 +267,7 @@ def _write_pairs(model: Model):
         put(f"{model.path}/2-{s}", {"code": np.round(-np.log10(p) * STEP).astype(np.uint16)})
         cuts = np.searchsorted(v.astype(np.int64), model.base)
         own = [(u, a, b) for u, (a, b) in enumerate(zip(cuts, cuts[1:])) if a < b]
-        return pd.DataFrame({"shard": [u for u, *_ in own], "keys": [(v[a:b] - U(model.base[u])).tobytes() for u, a, b in own], "counts": [many[a:b].astype(np.uint32).tobytes() for _, a, b in own]})
+        return pd.DataFrame({"shard": [u for u, *_ in own], "keys": [_planes(np.diff(v[a:b] - U(model.base[u]), prepend=U(0))) for u, a, b in own], "counts": [_planes(many[a:b].astype(np.uint32)) for _, a, b in own]})
 
     return run
 
@@ -274,19 +291,52 @@ def _write_after(model: Model):
     return run
 
 
+def _count_triples(model: Model):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for _, block in _blocks(batches, 0):
+            ids, counts, sums = model.lookup(block.hashes)
+            pairs = Pairs(model, block, ids, counts, sums)
+            context, word, _, n = pairs.triples()
+            keys, shard = pairs.rank[context].astype(U) << U(32) | ids[word].astype(U), pairs.shard[context]
+            order = np.lexsort((keys, shard))
+            yield from _rows(shard[order], keys[order], n[order])
+
+    return run
+
+
+def _write_triples(model: Model):
+    def run(rows: pd.DataFrame) -> pd.DataFrame:
+        keys, counts = _merge(rows)
+        s = int(rows["shard"].iloc[0])
+        v, first = np.unique(keys >> U(32), return_index=True)
+        many, totals = np.diff(np.append(first, len(keys))), np.add.reduceat(counts, first)
+        code = lambda p: np.round(-np.log10(p) * STEP).astype(np.uint16)
+        put(f"{model.path}/3-{s}", _named("context", EliasFano.build(v, 1 << 32)))
+        put(f"{model.path}/3-{s}", _named("pointer", EliasFano.build(np.append(first, len(keys)), len(keys) + 1)))
+        put(f"{model.path}/3-{s}", _named("next", EliasFano.build(_places(np.repeat(np.arange(len(v)), many), keys, model), len(v) * model.v)))
+        put(f"{model.path}/3-{s}", {"back": code(DISCOUNT * many / totals), "code": code((counts - DISCOUNT) / np.repeat(totals, many))})
+        return pd.DataFrame({"shard": [s], "n": [len(keys)], "total": [int(counts.sum())]})
+
+    return run
+
+
 ROWS, SIZES = "shard long, keys binary, counts binary", "shard long, n long, total long"
 
 
-def fit(docs: DataFrame, scratch: Scratch, text: str = "text", parts: int | None = None) -> Model:
-    """Count and write the trie of these texts."""
+def fit(docs: DataFrame, scratch: Scratch, text: str = "text", parts: int | None = None, order: int = ORDER) -> Model:
+    """Count and write the trie of these texts, of pairs (order 2) or triples (order 3) of words."""
+    if order not in (2, 3):
+        raise ValueError("the order is 2 or 3")
     texts = docs.select(docs[text].cast("string").alias("text"))
     parts = parts or max(1, texts.rdd.getNumPartitions())
     bits = (parts - 1).bit_length()
     path = f"{scratch.path}/trie"
     words = texts.mapInArrow(_count_words(bits), ROWS).groupBy("shard").applyInPandas(_write_words(path, bits), SIZES)
-    model = Model(path, bits, words.collect(), parts)  # a row for each shard
+    model = Model(path, bits, words.collect(), parts, order)  # a row for each shard
     pairs = texts.mapInArrow(_count_pairs(model), ROWS).groupBy("shard").applyInPandas(_write_pairs(model), ROWS)
     pairs.groupBy("shard").applyInPandas(_write_after(model), SIZES).agg(F.sum("n")).collect()
+    if order == 3:
+        texts.mapInArrow(_count_triples(model), ROWS).groupBy("shard").applyInPandas(_write_triples(model), SIZES).agg(F.sum("n")).collect()
     return model
 
 
@@ -298,49 +348,74 @@ def _exists_at(path: str) -> bool:
     return fs.get_file_info(key).type != pyarrow.fs.FileType.NotFound
 
 
-def _exists(model: Model, s: int) -> bool:
-    return _exists_at(f"{model.path}/2-{s}")
-
-
-def _discounted(model: Model, keys: np.ndarray, shard: np.ndarray) -> np.ndarray:
-    """The stored probability of sorted pairs, 0 of unseen ones."""
-    out = np.zeros(len(keys))
-    for s in np.unique(shard):
-        if not _exists(model, int(s)):
+def _found(model: Model, level: int, shard: np.ndarray, context: np.ndarray, word: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(place in the shard or -1, stored probability or 0, weight left to the shorter context or 1) of n-grams of a level, in any order."""
+    place, p, back = np.full(len(shard), -1), np.zeros(len(shard)), np.ones(len(shard))
+    order = np.lexsort((word, context, shard))
+    shards, first = np.unique(shard[order], return_index=True)
+    for s, a, b in zip(shards, first, np.append(first[1:], len(order))):
+        path = f"{model.path}/{level}-{int(s)}"
+        if not _exists_at(path):
             continue
-        on = np.nonzero(shard == s)[0]
-        path = f"{model.path}/2-{s}"
-        v, of = np.unique(keys[on] >> U(32), return_inverse=True)
-        at = _sequence(path, "context").find(v)[of]
-        got = np.full(len(on), -1)
-        ok = np.nonzero(at >= 0)[0]
-        got[ok] = _sequence(path, "next").find(_places(at[ok], keys[on[ok]], model))
-        hit = got >= 0
-        out[on[hit]] = 10.0 ** (-_array(path, "code")[got[hit]].astype(float) / STEP)
-    return out
+        on = order[a:b]
+        v, of = np.unique(context[on], return_inverse=True)
+        own = _sequence(path, "context").find(v)
+        if level > 2:
+            left = np.ones(len(v))
+            left[own >= 0] = 10.0 ** (-_array(path, "back")[own[own >= 0]].astype(float) / STEP)
+            back[on] = left[of]
+        ok = np.nonzero(own[of] >= 0)[0]
+        got = _sequence(path, "next").find(own[of][ok].astype(U) * U(model.v) + word[on[ok]].astype(U))
+        hit = on[ok[got >= 0]]
+        place[hit] = got[got >= 0]
+        p[hit] = 10.0 ** (-_array(path, "code")[got[got >= 0]].astype(float) / STEP)
+    return place, p, back
+
+
+class Pairs:
+    """A block's different pairs of words: their words in numbers of the block, their shard, their place in it (-1 for unseen ones) and stored probability."""
+
+    def __init__(self, model: Model, block: Block, ids: np.ndarray, counts: np.ndarray, sums: np.ndarray):
+        self.block = block
+        pair, self.of = np.unique(block.before << 32 | block.tokens, return_inverse=True)
+        self.v, self.w = pair >> 32, pair & 0xFFFFFFFF
+        known = np.nonzero((ids[self.v] >= 0) & (ids[self.w] >= 0))[0]
+        v, w = self.v[known], self.w[known]
+        self.shard, self.rank, self.p = np.zeros(len(pair), np.int64), np.full(len(pair), -1), np.zeros(len(pair))
+        self.shard[known] = model.shard(sums[v], counts[v], ids[w])
+        self.rank[known], self.p[known], _ = _found(model, 2, self.shard[known], ids[v], ids[w])
+
+    def triples(self) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """(pair, word, places of tokens, counts): the different triples as a pair's number and a word of the block, then for each token but the first of a text its triple's number."""
+        later = np.ones(len(self.of), bool)
+        later[np.cumsum(self.block.sizes) - self.block.sizes] = False
+        at = np.nonzero(later)[0]
+        triple, of, n = np.unique(self.of[at - 1].astype(np.int64) << 32 | self.block.tokens[at], return_inverse=True, return_counts=True)
+        place = np.full(len(self.of), -1)
+        place[at] = of
+        return triple >> 32, triple & 0xFFFFFFFF, place, n
 
 
 def score_block(model: Model, block: Block) -> dict[str, np.ndarray]:
     ids, counts, sums, after = model.lookup(block.hashes, followed=True)
     single = (counts + 1) / (model.n + model.v + 1)
-    known_v = ids >= 0
     back = np.ones(len(ids))
-    seen = np.nonzero(known_v)[0]
+    seen = np.nonzero(ids >= 0)[0]
     back[seen] = DISCOUNT * after[seen] / counts[seen]
-    v, w = block.before, block.tokens
-    pair, of = np.unique(v << 32 | w, return_inverse=True)  # in numbers of the block
-    pv, pw = pair >> 32, pair & 0xFFFFFFFF
-    both = np.nonzero((ids[pv] >= 0) & (ids[pw] >= 0))[0]
-    keys = ids[pv[both]].astype(U) << U(32) | ids[pw[both]].astype(U)
-    order = np.argsort(keys)
-    a = np.zeros(len(pair))
-    at = both[order]
-    a[at] = _discounted(model, keys[order], model.shard(sums[pv[at]], counts[pv[at]], ids[pw[at]]))
-    total = np.log10(a + back[pv] * single[pw])[of]
+    pairs = Pairs(model, block, ids, counts, sums)
+    p = (pairs.p + back[pairs.v] * single[pairs.w])[pairs.of]
+    if model.order > 2 and len(p):
+        context, word, place, _ = pairs.triples()
+        known = np.nonzero(pairs.rank[context] >= 0)[0]
+        own, left = np.zeros(len(context)), np.ones(len(context))
+        _, own[known], left[known] = _found(model, 3, pairs.shard[context[known]], pairs.rank[context[known]], ids[word[known]])
+        on = place >= 0
+        p[on] = own[place[on]] + left[place[on]] * p[on]
     rows = len(block.sizes)
     add = lambda x: np.bincount(block.row, weights=x, minlength=rows)
+    w = block.tokens
     base = np.log10((counts + 1) / (model.n + model.v + 1))
-    return {"n_tokens": block.sizes, "n_known": add((counts[w] > 0).astype(float)).astype(np.int64), "base_score": add(base[w]), "score": add(total)}
+    return {"n_tokens": block.sizes, "n_known": add((counts[w] > 0).astype(float)).astype(np.int64), "base_score": add(base[w]), "score": add(np.log10(p))}
 
 
 def score(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:

@@ -166,27 +166,33 @@ def test_elias_fano(values, asked):
     assert e.find(np.array([*asked, *values], np.uint64)).tolist() == want
 
 
-def test_language_model(spark):
+@pytest.mark.parametrize("order", [2, 3])
+def test_language_model(spark, order):
     rows = [(k, f"the cat {k % 5} sat\non THE mat {k % 3}", "a") for k in range(40)] + ODD
     docs = documents(spark, rows).select("doc_id", "text").withColumn("score", F.lit("mine"))
     train = docs.where("doc_id IS NULL OR doc_id % 4 <> 1")
-    got = lm.score(docs, lm.fit(train, Scratch(spark, "t"), parts=3)).collect()
+    got = lm.score(docs, lm.fit(train, Scratch(spark, "t"), parts=3, order=order)).collect()
     tok = lambda t: (t or "").encode().lower().split() + [b"\n"]
-    one, two = Counter(), Counter()
+    one, two, three = Counter(), Counter(), Counter()
     for i, t, _ in rows:
         if i is None or i % 4 != 1:
             x = tok(t)
             one.update(x)
             two.update(zip([b"\n", *x], x))
+            three.update(zip([b"\n", *x], x, x[1:]))
     n, v = sum(one.values()), len(one)
-    after = Counter(a for a, _ in two)
+    after, later = Counter(a for a, _ in two), Counter((u, a) for u, a, _ in three)
     p1 = lambda w: (one[w] + 1) / (n + v + 1)
     assert len(got) == len(rows)
     for r in got:
         x = tok(r.text)
         assert (r.n_tokens, r.n_known, r.train_tokens) == (len(x), sum(one[w] > 0 for w in x), n)
         assert math.isclose(r.base_score, sum(math.log10(p1(w)) for w in x), abs_tol=1e-9)
-        want = sum(math.log10(max(two[a, w] - 0.75, 0) / one[a] + 0.75 * after[a] / one[a] * p1(w) if one[a] else p1(w)) for a, w in zip([b"\n", *x], x))
+        p2 = lambda a, w: max(two[a, w] - 0.75, 0) / one[a] + 0.75 * after[a] / one[a] * p1(w) if one[a] else p1(w)
+        p3 = lambda u, a, w: max(three[u, a, w] - 0.75, 0) / two[u, a] + 0.75 * later[u, a] / two[u, a] * p2(a, w) if two[u, a] else p2(a, w)
+        want = sum(math.log10(p2(a, w)) for a, w in zip([b"\n", *x], x))
+        if order == 3:
+            want = math.log10(p2(b"\n", x[0])) + sum(math.log10(p3(*t)) for t in zip([b"\n", *x], x, x[1:]))
         assert abs(r.score - want) < 1e-3 * len(x)
     empty = lm.fit(docs.limit(0), Scratch(spark, "t"))
     assert {r.n_known for r in lm.score(docs, empty).collect()} == {0}
