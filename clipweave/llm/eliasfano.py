@@ -69,15 +69,29 @@ class EliasFano:
         i = np.asarray(i, np.int64)
         return (_select(self.high, self.ones, i, False) - i).astype(U) << U(self.bits) | unpack(self.low, self.bits, i)
 
-    def find(self, x: np.ndarray) -> np.ndarray:
-        """The position of each value, -1 where it is missing."""
+    def find(self, x: np.ndarray, steps: int = 4) -> np.ndarray:
+        """The position of each value, -1 where it is missing. A value's upper bits lead to a run of ones, most of them short: some steps along it, then a binary search for those whose run is longer."""
         x = x.astype(U)
+        out = np.full(len(x), -1)
         if not self.n or not len(x):
-            return np.full(len(x), -1)
-        h = (x >> U(self.bits)).astype(np.int64)
-        lo = np.where(h > 0, _select(self.high, self.zeros, np.maximum(h - 1, 0), True) - h + 1, 0)
-        hi = _select(self.high, self.zeros, h, True) - h
-        return search(lambda at: unpack(self.low, self.bits, at), lo, hi, x & U((1 << self.bits) - 1))
+            return out
+        h, want = (x >> U(self.bits)).astype(np.int64), x & U((1 << self.bits) - 1)
+        bit = np.where(h > 0, _select(self.high, self.zeros, np.maximum(h - 1, 0), True) + 1, 0)
+        on, at = np.arange(len(x)), bit - h
+        for _ in range(steps):
+            live = (self.high[bit >> 6] >> (bit & 63).astype(U) & U(1)).astype(bool)
+            on, bit, at = on[live], bit[live], at[live]
+            if not len(on):
+                return out
+            got, w = unpack(self.low, self.bits, at), want[on]
+            hit = got == w
+            out[on[hit]] = at[hit]
+            more = got < w
+            on, bit, at = on[more], bit[more] + 1, at[more] + 1
+        if len(on):
+            end = _select(self.high, self.zeros, h[on], True) - h[on]
+            out[on] = search(lambda i: unpack(self.low, self.bits, i), at, np.maximum(end, at), want[on])
+        return out
 
 
 def search(get, lo: np.ndarray, hi: np.ndarray, x: np.ndarray) -> np.ndarray:

@@ -11,8 +11,8 @@ after a context is searched among that context's successors only. Frequent conte
 spread over shards by the word.
 
 Level 3 is built like level 2, from the pairs on: a triple lies in the shard of its first
-two words, its context is the place of that pair in the shard, and beside each context
-stands, quantised, the weight it leaves to the shorter one. So a text is scored by
+two words, its context is the place of that pair in the shard, so that pointers need no
+search, and beside each context stands, quantised, the weight it leaves to the shorter one. So a text is scored by
 descending: the word's id, the pair among the successors of its first word, the triple
 among the successors of the pair.
 
@@ -57,6 +57,7 @@ from .eliasfano import EliasFano, U
 
 BLOCK, DISCOUNT, STEP, OPEN, ORDER = 1_500_000, 0.75, 1024, 256, 3
 END = b"\n"  # no word holds it
+WEIGHTS = 10.0 ** (-np.arange(1 << 16) / STEP)  # by code
 
 
 def _local(path: str) -> str | None:
@@ -87,7 +88,7 @@ def get(path: str, *names: str) -> dict[str, np.ndarray]:
     for name in names:
         at = f"{path}.{name}.npy"
         if local := _local(at):
-            out[name] = np.load(local, mmap_mode="r")
+            out[name] = np.asarray(np.load(local, mmap_mode="r"))
         else:
             fs, key = pyarrow.fs.FileSystem.from_uri(at)
             with fs.open_input_stream(key) as f:
@@ -158,10 +159,10 @@ def _whole(raw: bytes, kind: type) -> np.ndarray:
 
 
 def _rows(shard: np.ndarray, keys: np.ndarray, counts: np.ndarray) -> Iterator[pa.RecordBatch]:
-    """One row for each shard of sorted keys: the keys' differences and their counts as bytes."""
-    ids, first = np.unique(shard, return_index=True)
-    for s, a, b in zip(ids, first, np.append(first[1:], len(keys))):
-        yield pa.RecordBatch.from_pydict({"shard": pa.array([s], pa.int64()), "keys": [_planes(np.diff(keys[a:b].astype(U), prepend=U(0)))], "counts": [_planes(counts[a:b].astype(np.uint32))]})
+    """One row for each shard of keys sorted by shard and key: the keys' differences and their counts as bytes."""
+    first, _ = _runs(shard)
+    for a, b in zip(first, np.append(first[1:], len(keys))):
+        yield pa.RecordBatch.from_pydict({"shard": pa.array([shard[a]], pa.int64()), "keys": [_planes(np.diff(keys[a:b].astype(U), prepend=U(0)))], "counts": [_planes(counts[a:b].astype(np.uint32))]})
 
 
 def _merge(rows: pd.DataFrame) -> tuple[np.ndarray, np.ndarray]:
@@ -178,6 +179,7 @@ class Model:
 
     def __init__(self, path: str, bits: int, level1: list[Row], shards: int, order: int = ORDER):
         self.path, self.bits, self.shards, self.order = path, bits, shards, order
+        self.followed = False  # whether level 2 is written
         self.words, self.tokens = np.zeros(1 << bits, np.int64), np.zeros(1 << bits, np.int64)
         for r in level1:
             self.words[r.shard], self.tokens[r.shard] = r.n, r.total
@@ -206,7 +208,7 @@ class Model:
                 after[a + ok] = _array(f"{self.path}/1-{s}", "after")[at[ok]]
         out = np.empty_like(order)
         out[order] = np.arange(len(order))
-        return (ids[out], counts[out], sums[out], after[out]) if followed else (ids[out], counts[out], sums[out])
+        return ids[out], counts[out], sums[out], after[out]
 
     def shard(self, sums: np.ndarray, counts: np.ndarray, word: np.ndarray | int) -> np.ndarray:
         """Of a pair: by the context's place among all tokens, and in it by the word."""
@@ -239,11 +241,8 @@ def _write_words(path: str, bits: int):
 def _count_pairs(model: Model):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for _, block in _blocks(batches, 0):
-            ids, counts, sums = model.lookup(block.hashes)
-            keys, n = np.unique(ids[block.before].astype(U) << U(32) | ids[block.tokens].astype(U), return_counts=True)
-            order = np.argsort(ids)
-            of = order[np.searchsorted(ids[order], (keys >> U(32)).astype(np.int64))]
-            yield from _rows(model.shard(sums[of], counts[of], (keys & U(0xFFFFFFFF)).astype(np.int64)), keys, n)
+            pairs = Pairs(model, block)
+            yield from _rows(pairs.shard, pairs.ids[pairs.v].astype(U) << U(32) | pairs.ids[pairs.w].astype(U), pairs.n)
 
     return run
 
@@ -294,12 +293,9 @@ def _write_after(model: Model):
 def _count_triples(model: Model):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for _, block in _blocks(batches, 0):
-            ids, counts, sums = model.lookup(block.hashes)
-            pairs = Pairs(model, block, ids, counts, sums)
-            context, word, _, n = pairs.triples()
-            keys, shard = pairs.rank[context].astype(U) << U(32) | ids[word].astype(U), pairs.shard[context]
-            order = np.lexsort((keys, shard))
-            yield from _rows(shard[order], keys[order], n[order])
+            pairs = Pairs(model, block)
+            context, word, _, _, n = pairs.triples()
+            yield from _rows(pairs.shard[context], pairs.rank[context].astype(U) << U(32) | pairs.ids[word].astype(U), n)
 
     return run
 
@@ -308,13 +304,15 @@ def _write_triples(model: Model):
     def run(rows: pd.DataFrame) -> pd.DataFrame:
         keys, counts = _merge(rows)
         s = int(rows["shard"].iloc[0])
-        v, first = np.unique(keys >> U(32), return_index=True)
-        many, totals = np.diff(np.append(first, len(keys))), np.add.reduceat(counts, first)
+        size = len(_array(f"{model.path}/2-{s}", "code"))
+        pair = (keys >> U(32)).astype(np.int64)
+        many, totals = np.bincount(pair, minlength=size), np.bincount(pair, weights=counts, minlength=size)
         code = lambda p: np.round(-np.log10(p) * STEP).astype(np.uint16)
-        put(f"{model.path}/3-{s}", _named("context", EliasFano.build(v, 1 << 32)))
-        put(f"{model.path}/3-{s}", _named("pointer", EliasFano.build(np.append(first, len(keys)), len(keys) + 1)))
-        put(f"{model.path}/3-{s}", _named("next", EliasFano.build(_places(np.repeat(np.arange(len(v)), many), keys, model), len(v) * model.v)))
-        put(f"{model.path}/3-{s}", {"back": code(DISCOUNT * many / totals), "code": code((counts - DISCOUNT) / np.repeat(totals, many))})
+        back = np.ones(size)  # a pair that ends a text leaves all
+        back[many > 0] = DISCOUNT * many[many > 0] / totals[many > 0]
+        put(f"{model.path}/3-{s}", _named("pointer", EliasFano.build(np.append(0, np.cumsum(many)), len(keys) + 1)))
+        put(f"{model.path}/3-{s}", _named("next", EliasFano.build(_places(pair, keys, model), size * model.v)))
+        put(f"{model.path}/3-{s}", {"back": code(back), "code": code((counts - DISCOUNT) / totals[pair])})
         return pd.DataFrame({"shard": [s], "n": [len(keys)], "total": [int(counts.sum())]})
 
     return run
@@ -335,6 +333,7 @@ def fit(docs: DataFrame, scratch: Scratch, text: str = "text", parts: int | None
     model = Model(path, bits, words.collect(), parts, order)  # a row for each shard
     pairs = texts.mapInArrow(_count_pairs(model), ROWS).groupBy("shard").applyInPandas(_write_pairs(model), ROWS)
     pairs.groupBy("shard").applyInPandas(_write_after(model), SIZES).agg(F.sum("n")).collect()
+    model.followed = True
     if order == 3:
         texts.mapInArrow(_count_triples(model), ROWS).groupBy("shard").applyInPandas(_write_triples(model), SIZES).agg(F.sum("n")).collect()
     return model
@@ -348,74 +347,109 @@ def _exists_at(path: str) -> bool:
     return fs.get_file_info(key).type != pyarrow.fs.FileType.NotFound
 
 
+def _runs(sorted_: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Where each run of equal values begins, and the run of every place."""
+    new = np.append(True, sorted_[1:] != sorted_[:-1]) if len(sorted_) else np.zeros(0, bool)
+    return np.nonzero(new)[0], np.cumsum(new) - 1
+
+
+def _distinct(high: np.ndarray, low: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(high, low, number of every row's pair, counts): the different pairs in order. Where bits allow, each row's place is sorted along in one integer, which is several times as fast."""
+    n = len(high)
+    if not n:
+        return high, low, np.zeros(0, np.int64), np.zeros(0, np.int64)
+    place, right = n.bit_length(), int(low.max()).bit_length()
+    if int(high.max()).bit_length() + right + place <= 63:
+        key = high << (right + place) | low << place | np.arange(n)
+        key.sort()
+        order = key & ((1 << place) - 1)
+        key >>= place
+    else:
+        right = 32
+        key = high << right | low
+        order = np.argsort(key, kind="stable")
+        key = key[order]
+    first, run = _runs(key)
+    of = np.empty(n, np.int64)
+    of[order] = run
+    return key[first] >> right, key[first] & ((1 << right) - 1), of, np.diff(np.append(first, n))
+
+
 def _found(model: Model, level: int, shard: np.ndarray, context: np.ndarray, word: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(place in the shard or -1, stored probability or 0, weight left to the shorter context or 1) of n-grams of a level, in any order."""
+    """(place in the shard or -1, stored probability or 0, weight left to the shorter context or 1) of n-grams of a level, sorted by shard and context."""
     place, p, back = np.full(len(shard), -1), np.zeros(len(shard)), np.ones(len(shard))
-    order = np.lexsort((word, context, shard))
-    shards, first = np.unique(shard[order], return_index=True)
-    for s, a, b in zip(shards, first, np.append(first[1:], len(order))):
-        path = f"{model.path}/{level}-{int(s)}"
+    first, _ = _runs(shard)
+    for a, b in zip(first, np.append(first[1:], len(shard))):
+        path = f"{model.path}/{level}-{int(shard[a])}"
         if not _exists_at(path):
             continue
-        on = order[a:b]
-        v, of = np.unique(context[on], return_inverse=True)
-        own = _sequence(path, "context").find(v)
         if level > 2:
-            left = np.ones(len(v))
-            left[own >= 0] = 10.0 ** (-_array(path, "back")[own[own >= 0]].astype(float) / STEP)
-            back[on] = left[of]
-        ok = np.nonzero(own[of] >= 0)[0]
-        got = _sequence(path, "next").find(own[of][ok].astype(U) * U(model.v) + word[on[ok]].astype(U))
-        hit = on[ok[got >= 0]]
+            own = context[a:b]
+            back[a:b] = WEIGHTS[_array(path, "back")[own]]
+        else:
+            start, of = _runs(context[a:b])
+            own = _sequence(path, "context").find(context[a:b][start])[of]
+        ok = np.nonzero(own >= 0)[0]
+        got = _sequence(path, "next").find(own[ok].astype(U) * U(model.v) + word[a:b][ok].astype(U))
+        hit = ok[got >= 0] + a
         place[hit] = got[got >= 0]
-        p[hit] = 10.0 ** (-_array(path, "code")[got[got >= 0]].astype(float) / STEP)
+        p[hit] = WEIGHTS[_array(path, "code")[got[got >= 0]]]
     return place, p, back
 
 
 class Pairs:
-    """A block's different pairs of words: their words in numbers of the block, their shard, their place in it (-1 for unseen ones) and stored probability."""
-
-    def __init__(self, model: Model, block: Block, ids: np.ndarray, counts: np.ndarray, sums: np.ndarray):
-        self.block = block
-        pair, self.of = np.unique(block.before << 32 | block.tokens, return_inverse=True)
-        self.v, self.w = pair >> 32, pair & 0xFFFFFFFF
-        known = np.nonzero((ids[self.v] >= 0) & (ids[self.w] >= 0))[0]
+    """A block's words, numbered anew in the order of their ids, and its different pairs of them, so numbered that shards and places in shards rise with them: shard, place (rank; -1 for unseen ones) and stored probability."""
+
+    def __init__(self, model: Model, block: Block):
+        ids, counts, sums, after = model.lookup(block.hashes, followed=model.followed)
+        order = np.argsort(ids, kind="stable")
+        number = np.empty_like(order)
+        number[order] = np.arange(len(order))
+        self.ids, self.counts, self.sums, self.after = ids[order], counts[order], sums[order], after[order]
+        self.sizes, self.tokens = block.sizes, number[block.tokens]
+        self.v, self.w, self.of, self.n = _distinct(number[block.before], self.tokens)
+        known = np.nonzero((self.ids[self.v] >= 0) & (self.ids[self.w] >= 0))[0]
         v, w = self.v[known], self.w[known]
-        self.shard, self.rank, self.p = np.zeros(len(pair), np.int64), np.full(len(pair), -1), np.zeros(len(pair))
-        self.shard[known] = model.shard(sums[v], counts[v], ids[w])
-        self.rank[known], self.p[known], _ = _found(model, 2, self.shard[known], ids[v], ids[w])
+        self.shard, self.rank, self.p = np.zeros(len(self.v), np.int64), np.full(len(self.v), -1), np.zeros(len(self.v))
+        self.shard[known] = model.shard(self.sums[v], self.counts[v], self.ids[w])
+        if model.followed:
+            self.rank[known], self.p[known], _ = _found(model, 2, self.shard[known], self.ids[v], self.ids[w])
 
-    def triples(self) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-        """(pair, word, places of tokens, counts): the different triples as a pair's number and a word of the block, then for each token but the first of a text its triple's number."""
+    def triples(self) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """(pair, word, triple of each token in at, at, counts): the different triples as numbers of a pair and a word; at: all tokens but the first of each text."""
         later = np.ones(len(self.of), bool)
-        later[np.cumsum(self.block.sizes) - self.block.sizes] = False
+        later[np.cumsum(self.sizes) - self.sizes] = False
         at = np.nonzero(later)[0]
-        triple, of, n = np.unique(self.of[at - 1].astype(np.int64) << 32 | self.block.tokens[at], return_inverse=True, return_counts=True)
-        place = np.full(len(self.of), -1)
-        place[at] = of
-        return triple >> 32, triple & 0xFFFFFFFF, place, n
+        pair, word, of, n = _distinct(self.of[at - 1], self.tokens[at])
+        return pair, word, of, at, n
 
 
 def score_block(model: Model, block: Block) -> dict[str, np.ndarray]:
-    ids, counts, sums, after = model.lookup(block.hashes, followed=True)
+    pairs = Pairs(model, block)
+    counts = pairs.counts
     single = (counts + 1) / (model.n + model.v + 1)
-    back = np.ones(len(ids))
-    seen = np.nonzero(ids >= 0)[0]
-    back[seen] = DISCOUNT * after[seen] / counts[seen]
-    pairs = Pairs(model, block, ids, counts, sums)
+    back = np.ones(len(counts))
+    seen = np.nonzero(pairs.ids >= 0)[0]
+    back[seen] = DISCOUNT * pairs.after[seen] / counts[seen]
     p = (pairs.p + back[pairs.v] * single[pairs.w])[pairs.of]
     if model.order > 2 and len(p):
-        context, word, place, _ = pairs.triples()
-        known = np.nonzero(pairs.rank[context] >= 0)[0]
+        context, word, of, at, _ = pairs.triples()
+        known = np.nonzero((pairs.rank[context] >= 0) & (pairs.ids[word] >= 0))[0]
         own, left = np.zeros(len(context)), np.ones(len(context))
-        _, own[known], left[known] = _found(model, 3, pairs.shard[context[known]], pairs.rank[context[known]], ids[word[known]])
-        on = place >= 0
-        p[on] = own[place[on]] + left[place[on]] * p[on]
+        _, own[known], left[known] = _found(model, 3, pairs.shard[context[known]], pairs.rank[context[known]], pairs.ids[word[known]])
+        # a triple whose last word is new has no place, but its context still leaves its weight
+        new = np.nonzero((pairs.rank[context] >= 0) & (pairs.ids[word] < 0))[0]
+        left[new] = _left(model, pairs.shard[context[new]], pairs.rank[context[new]])
+        p[at] = own[of] + left[of] * p[at]
     rows = len(block.sizes)
     add = lambda x: np.bincount(block.row, weights=x, minlength=rows)
-    w = block.tokens
-    base = np.log10((counts + 1) / (model.n + model.v + 1))
-    return {"n_tokens": block.sizes, "n_known": add((counts[w] > 0).astype(float)).astype(np.int64), "base_score": add(base[w]), "score": add(np.log10(p))}
+    base = np.log10(single)
+    return {"n_tokens": block.sizes, "n_known": add((counts > 0).astype(float)[pairs.tokens]).astype(np.int64), "base_score": add(base[pairs.tokens]), "score": add(np.log10(p))}
+
+
+def _left(model: Model, shard: np.ndarray, rank: np.ndarray) -> np.ndarray:
+    """The weight that contexts of level 3, sorted, leave to the shorter one."""
+    return _found(model, 3, shard, rank, np.zeros(len(shard), np.int64))[2]
 
 
 def score(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
