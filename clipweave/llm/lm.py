@@ -38,15 +38,16 @@ token has probability 1.
 from __future__ import annotations
 
 import io
+import itertools
 import os
 import tempfile
-from collections import defaultdict
 from collections.abc import Iterator
 from functools import lru_cache
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 import pyarrow.fs
 import xxhash
 from pyspark.sql import DataFrame, Row
@@ -55,7 +56,7 @@ from pyspark.sql import functions as F
 from .common import Scratch, unused, widened
 from .eliasfano import EliasFano, U
 
-BLOCK, DISCOUNT, STEP, OPEN, ORDER = 1_500_000, 0.75, 1024, 256, 3
+BLOCK, DISCOUNT, STEP, OPEN, ORDER = 1_200_000, 0.75, 1024, 256, 3
 END = b"\n"  # no word holds it
 WEIGHTS = 10.0 ** (-np.arange(1 << 16) / STEP)  # by code
 
@@ -112,40 +113,45 @@ def _array(path: str, name: str) -> np.ndarray:
 
 
 class Block:
-    """Texts of some rows: ids, and tokens as numbers of the block's own vocabulary (0 is the end)."""
-
-    def __init__(self, texts: list[bytes]):
-        known: dict[bytes, int] = defaultdict()
-        known.default_factory = known.__len__
-        known[END]
-        parts, sizes = [], []
-        for t in texts:
-            ws = t.lower().split()
-            ws.append(END)
-            parts.append(np.fromiter(map(known.__getitem__, ws), np.int64, len(ws)))
-            sizes.append(len(ws))
-        self.tokens = np.concatenate(parts) if parts else np.zeros(0, np.int64)
-        self.sizes = np.array(sizes, np.int64)
+    """Texts of some rows: sizes, and tokens as numbers of the block's own vocabulary (0 is the end), of which hashes are kept."""
+
+    def __init__(self, texts: pa.Array):
+        parts = pc.ascii_split_whitespace(pc.ascii_lower(texts))  # the blanks are space and 9 to 13
+        sizes = np.asarray(parts.value_lengths()).astype(np.int64)
+        words, row = parts.flatten(), np.repeat(np.arange(len(sizes)), sizes)
+        said = np.asarray(pc.binary_length(words)) > 0  # blanks at an end leave an empty word
+        if not said.all():
+            words, row = words.filter(pa.array(said)), row[said]
+        coded = words.dictionary_encode()
+        self.sizes = np.bincount(row, minlength=len(sizes)) + 1
+        self.tokens = np.zeros(len(row) + len(sizes), np.int64)
+        self.tokens[np.arange(len(row)) + row] = np.asarray(coded.indices).astype(np.int64) + 1  # an end stands after each text
         self.row = np.repeat(np.arange(len(sizes)), self.sizes)
-        self.before = np.concatenate([[0], self.tokens[:-1]]) if len(self.tokens) else self.tokens  # an end precedes each text
-        self.hashes = np.fromiter((xxhash.xxh64_intdigest(w) for w in known), U, len(known))
+        self.before = np.concatenate([[0], self.tokens[:-1]]) if len(self.tokens) else self.tokens
+        known = coded.dictionary.cast(pa.binary()).to_pylist()
+        self.hashes = np.fromiter(map(xxhash.xxh64_intdigest, itertools.chain([END], known)), U, len(known) + 1)
 
 
 def _blocks(batches: Iterator[pa.RecordBatch], text: int) -> Iterator[tuple[pa.Table, Block]]:
-    held, texts, size = [], [], 0
+    """Rows in groups of about BLOCK tokens."""
+    held, size = [], 0
+
+    def made() -> tuple[pa.Table, Block]:
+        rows = pa.Table.from_batches(held)
+        return rows, Block(rows.column(text).combine_chunks().fill_null(""))
+
     for b in batches:
+        upto = size + np.cumsum(np.asarray(pc.binary_length(b.column(text)).fill_null(0)).astype(np.int64) // 6 + 1)
         at = 0
-        for i, t in enumerate(b.column(text).cast(pa.binary()).to_pylist()):
-            texts.append(t or b"")
-            size += len(texts[-1]) // 6 + 1
+        while at < len(b):
+            end = min(len(b), int(np.searchsorted(upto, BLOCK)) + 1)
+            held.append(b.slice(at, end - at))
+            size, at = int(upto[end - 1]), end
             if size >= BLOCK:
-                held.append(b.slice(at, i + 1 - at))
-                yield pa.Table.from_batches(held), Block(texts)
-                held, texts, size, at = [], [], 0, i + 1
-        if at < len(b):
-            held.append(b.slice(at))
-    if texts:
-        yield pa.Table.from_batches(held), Block(texts)
+                yield made()
+                held, upto, size = [], upto - size, 0
+    if held:
+        yield made()
 
 
 def _planes(values: np.ndarray) -> bytes:
