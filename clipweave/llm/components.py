@@ -1,4 +1,4 @@
-"""Connected components by alternating large-star and small-star rounds, until nothing changes.
+"""Connected components by alternating large-star and small-star rounds, until only stars are left.
 
 Edges point from the larger node to the smaller. A round takes each node's least smaller
 neighbour (combined before the shuffle), writes that table of a row a node, and joins
@@ -33,14 +33,12 @@ def components(spark: SparkSession, edges: DataFrame, scratch: Scratch) -> DataF
 
     now = edges.where(a != b).select(F.greatest(a, b).alias("a"), F.least(a, b).alias("b")).distinct()
     now = scratch.save(now, "edges-0")
-    before = None
     for k in count(1):
-        # ends when a round changes nothing; each round lowers some node's neighbour, so there is a last one
-        state = now.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
-        if state == before or state[0] == 0:
-            break
-        before = state
         m = least(now, f"least-{k}a")
+        # Stars: every node has one smaller neighbour, and that one has none. A round lowers some neighbour of what is no star, so there is a last one.
+        if m.count() == now.count() and now.join(m, b == F.col("node"), "left_semi").isEmpty():
+            scratch.drop(f"least-{k}a")
+            break
         large = now.join(m, b == F.col("node"), "left").select("a", F.coalesce("m", "b").alias("b")).distinct()
         large = scratch.save(large, f"large-{k}")
         m = least(large, f"least-{k}b")
