@@ -125,6 +125,11 @@ def intro_cut(spark, d):
     return selection.intro_end(_frames(spark, d))
 
 
+@_query(f"WITH {_HIST} SELECT video, CAST(ceil(coalesce(min(CASE WHEN same < 0.7 THEN i - 3 END), max(i - 3)) / 2.0) AS BIGINT) AS second FROM q WHERE i >= 3 GROUP BY video")
+def intro_cut_after_skip(spark, d):
+    return selection.intro_end(_frames(spark, d), fps=2, skip=1.5)
+
+
 @_query(f"WITH {SEG}, {_HIST}, ends AS (SELECT video, second + 40 AS second FROM cut), pre AS (SELECT s.* FROM (SELECT seg.*, bool_and(round_even(\"end\", 0) <= second + 1) OVER (PARTITION BY video_index ORDER BY segment_index) AS ok FROM seg JOIN ends ON video = video_index) s WHERE ok) SELECT video_index, segment_index FROM pre WHERE video_index = (SELECT video FROM ends WHERE video IN (SELECT video_index FROM pre) ORDER BY second, video LIMIT 1)")
 def shortest_introduction(spark, d):
     ends = selection.intro_end(_frames(spark, d)).withColumn("second", F.col("second") + 40)
@@ -565,11 +570,30 @@ def introduction_log(spark, d):
     return summary.introduction(ends)(seg, spark.createDataFrame([], summary.LOG)).select("agent", "action", "video_index", "segment_index")
 
 
+def _thinned(seg: DataFrame) -> DataFrame:
+    """A log in which the first segments are discarded and the fourth ones put out."""
+    gone = lambda k, action: summary.entries(seg.where(F.col("segment_index") == k), k, "any", action)
+    return gone(0, "discard").unionByName(gone(3, "output"))
+
+
 @_query(f"WITH {SEG} SELECT topic, count(DISTINCT (video_index, content, start, \"end\")) AS n, arg_min(video_index, (video_index, segment_index)) AS first_video, arg_min(segment_index, (video_index, segment_index)) AS first_segment FROM seg WHERE topic <> '' AND segment_index NOT IN (0, 3) GROUP BY topic")
 def live_topic_clusters(spark, d):
     seg = _segments(spark, d)
-    gone = lambda k, action: summary.entries(seg.where(F.col("segment_index") == k), k, "any", action)
-    return redundancy.topic_clusters(summary.live(seg, gone(0, "discard").unionByName(gone(3, "output"))), "topic")
+    return redundancy.topic_clusters(summary.live(seg, _thinned(seg)), "topic")
+
+
+@_query(f"WITH {SEG}, rest AS (SELECT * FROM seg WHERE topic <> '' AND segment_index NOT IN (0, 3)), first AS (SELECT topic, min(video_index * 1048576 + segment_index) AS pick_id FROM rest GROUP BY topic) SELECT 'TopicRedundancy' AS agent, 'pick' AS action, CAST(pick_id AS BIGINT) AS pick_id, CAST(video_index AS BIGINT) AS video_index, CAST(segment_index AS BIGINT) AS segment_index FROM rest JOIN first USING (topic)")
+def topic_picks(spark, d):
+    seg = _segments(spark, d)
+    return summary.topic_redundancy()(seg, _thinned(seg)).drop("seq")
+
+
+@_query(f"WITH {SEG}, a AS (SELECT video_index, segment_index, (length(content) % 2 = 0)::INT + (length(content) % 3 = 0)::INT + (length(content) % 4 = 0)::INT AS yes FROM seg WHERE segment_index NOT IN (0, 3)) SELECT 'QuestionFilter' AS agent, 'include' AS action, CAST(video_index AS BIGINT) AS video_index, CAST(segment_index AS BIGINT) AS segment_index FROM a WHERE yes / 4.0 >= 0.5")
+def question_filter_log(spark, d):
+    seg = _segments(spark, d)
+    asked = seg.select("video_index", "segment_index", F.length("content").alias("n"), F.explode(F.sequence(F.lit(2), F.lit(5))).alias("q"))
+    answers = asked.select("video_index", "segment_index", F.when(F.col("q") < 5, F.col("n") % F.col("q") == 0).alias("answer"))
+    return summary.question_filter(answers, 4)(seg, _thinned(seg)).drop("seq", "pick_id")
 
 
 @_query()

@@ -154,3 +154,35 @@ def test_summary_puts_out_the_shortest_introduction_and_winners(spark):
     out, log = summary.summarize(seg, [summary.introduction(ends), summary.content_redundancy(0.3), summary.quality(words), summary.chronology()])
     assert [(r.video_index, r.segment_index) for r in out.orderBy("pos").collect()] == [(0, 0), (1, 1)]
     assert {r.agent for r in log.select("agent").distinct().collect()} == {"Introduction", "ContentRedundancy", "Quality", "Chronology"}
+
+
+def test_summary_by_topic_and_by_questions(spark):
+    from clipweave.plans import summary
+
+    rows = [(0, 0, "a", 0.0, 9.0), (0, 1, None, 10.0, 19.0), (0, 2, "b", 20.0, 29.0), (1, 0, "b", 0.0, 9.0), (1, 1, "a", 10.0, 19.0), (1, 2, "", 20.0, 29.0)]
+    seg = spark.createDataFrame([(v, s, t, t, a, b) for v, s, t, a, b in rows], "video_index long, segment_index long, content string, topic string, start double, end double")
+    words = spark.createDataFrame([(0, 0, "x"), (1, 1, "x"), (1, 1, "y"), (0, 2, "x"), (0, 2, "z"), (1, 0, "x")], "video_index long, segment_index long, word string")
+    source = "TopicRedundancy"
+    out, log = summary.summarize(seg, [summary.topic_redundancy(), summary.quality(words, source), summary.chronology(source)])
+    picks = {(r.pick_id, r.video_index, r.segment_index) for r in log.where("action = 'pick'").collect()}
+    assert picks == {(0, 0, 0), (0, 1, 1), (2, 0, 2), (2, 1, 0)}  # a topic's first place; null and empty topics are none
+    assert {(r.video_index, r.segment_index) for r in out.collect()} == {(1, 1), (0, 2)}
+    kept, log = summary.summarize(seg, [summary.topic_redundancy(), summary.quality(words, source), summary.chronology(source, action="include")])
+    assert log.where("action = 'output'").isEmpty() and kept.count() == 2
+    answers = spark.createDataFrame([(0, 0, True), (0, 0, None), (0, 1, False), (0, 1, True), (0, 1, True), (1, 0, None)], "video_index long, segment_index long, answer boolean")
+    first = lambda segments, log: summary.entries(segments.where("video_index = 0 AND segment_index = 0"), 1, "First", "discard")
+    out, _ = summary.summarize(seg, [summary.question_filter(answers, 2)])
+    assert {(r.video_index, r.segment_index) for r in out.collect()} == {(0, 0), (0, 1)}
+    out, _ = summary.summarize(seg, [first, summary.question_filter(answers, 2)])
+    assert {(r.video_index, r.segment_index) for r in out.collect()} == {(0, 1)}
+
+
+def test_introductions_after_skipped_seconds(spark):
+    from clipweave.operators.selection import intro_end
+
+    a, b = [1.0, 0.0], [0.0, 1.0]
+    frames = spark.createDataFrame([("v", k, h) for k, h in enumerate([a, b, b, b, a, a])] + [("w", k, a) for k in range(2)], "video string, frame_no long, hist array<double>")
+    got = lambda **more: {r.video: r.second for r in intro_end(frames, **more).collect()}
+    assert got() == {"v": 0, "w": 0}
+    assert got(skip=1) == {"v": 2}  # counted from the skip; one frame left is no comparison
+    assert got(fps=2, skip=1) == {"v": 1}
