@@ -71,6 +71,22 @@ def test_components_of_any_shape(spark, kind):
     assert len(got) == len(root) and {int(r.node): int(r.root) for r in got} == root
 
 
+@pytest.mark.parametrize("edges, rounds", [([], 0), ([(1, 1)], 0), ([(1, 2), (3, 1), (3, 1), (5, 4)], 0), ([(1, 2), (2, 3)], 1)])
+def test_components_write_no_round_for_stars(spark, edges, rounds):
+    class Counting(Scratch):
+        names = []
+
+        def save(self, df, name):
+            self.names.append(name)
+            return super().save(df, name)
+
+    scratch = Counting(spark, "t")
+    scratch.names.clear()
+    got = {r.node: r.root for r in components(spark, spark.createDataFrame(edges, "a long, b long"), scratch).collect()}
+    assert sum(n.startswith("edges-") for n in scratch.names) == 1 + rounds
+    assert got == {x: 4 if x > 3 else 1 for e in edges for x in e if e[0] != e[1]}
+
+
 @pytest.mark.parametrize("most", [0, 2_000_000])
 def test_decontamination_with_a_benchmark_of_any_size(spark, monkeypatch, most):
     monkeypatch.setattr(decontaminate, "BROADCAST", most)
