@@ -4,18 +4,23 @@ from __future__ import annotations
 
 import numpy as np
 
-U = np.uint64
+U, CHUNK = np.uint64, 1 << 16  # arrays are made in pieces, which take little memory beside the result
 _BYTE = np.array([[next((i for i in range(8) if b >> i & 1 and bin(b & ((1 << i) - 1)).count("1") == r), 0) for r in range(8)] for b in range(256)], np.int64)
 
 
 def pack(values: np.ndarray, bits: int) -> np.ndarray:
-    """Integers of so many bits each, one after the other, in 64-bit words; a word more at the end."""
-    n, out = len(values), []
-    for a in range(0, n, 1 << 20):
-        part = values[a : a + (1 << 20)].astype(U)
-        out.append(np.packbits((part[:, None] >> np.arange(bits, dtype=U) & U(1)).astype(np.uint8).ravel(), bitorder="little"))
-    raw = np.concatenate(out) if out and bits else np.zeros(0, np.uint8)
-    return np.concatenate([raw, np.zeros(16 - len(raw) % 8, np.uint8)]).view(U)
+    """The low bits, so many, of integers, one after the other, in 64-bit words; a word more at the end. Of up to 56 bits, one at most crosses the end of a word."""
+    n = len(values)
+    out = np.zeros(n * bits // 64 + 2, U)
+    for a in range(0, n if bits else 0, CHUNK):
+        part = values[a : a + CHUNK].astype(U) & U((1 << bits) - 1)
+        off = np.arange(a, a + len(part), dtype=np.int64) * bits
+        word, shift = off >> 6, (off & 63).astype(U)
+        first = np.nonzero(np.append(True, word[1:] != word[:-1]))[0]
+        out[word[first]] |= np.bitwise_or.reduceat(part << shift, first)
+        over = np.nonzero(shift + U(bits) > U(64))[0]
+        out[word[over] + 1] |= part[over] >> (U(64) - shift[over])
+    return out
 
 
 def unpack(words: np.ndarray, bits: int, at: np.ndarray) -> np.ndarray:
@@ -54,16 +59,16 @@ class EliasFano:
     def build(values: np.ndarray, universe: int) -> dict[str, np.ndarray]:
         n = len(values)
         bits = min(56, max(0, (universe // max(n, 1)).bit_length() - 1))
-        values = values.astype(U)
-        top = (values >> U(bits)).astype(np.int64)
         size = n + (universe >> bits) + 2
         raw = np.zeros((size + 63) // 64 * 64, np.uint8)
-        raw[top + np.arange(n)] = 1
+        for a in range(0, n, CHUNK):
+            top = (values[a : a + CHUNK].astype(U) >> U(bits)).astype(np.int64)
+            raw[top + np.arange(a, a + len(top))] = 1
         high = np.packbits(raw, bitorder="little").view(U)
         count = np.bitwise_count(high).astype(np.int64)
         ones = np.concatenate([[0], np.cumsum(count)])[:-1]
         zeros = np.arange(len(high), dtype=np.int64) * 64 - ones
-        return {"meta": np.array([n, bits], np.int64), "low": pack(values & U((1 << bits) - 1), bits), "high": high, "ones": ones, "zeros": zeros}
+        return {"meta": np.array([n, bits], np.int64), "low": pack(values, bits), "high": high, "ones": ones, "zeros": zeros}
 
     def get(self, i: np.ndarray) -> np.ndarray:
         i = np.asarray(i, np.int64)

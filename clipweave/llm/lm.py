@@ -23,7 +23,7 @@ and is the first word's only context. The trie holds every pair and triple of wo
 the training texts and grows with them.
 
 Tasks count inside blocks of about BLOCK tokens and hand over a sorted array for each
-shard, as differences of which the high bytes compress away; a shard's task merges those and writes its arrays to shared storage. Scoring
+shard, as compressed differences; a shard's task merges those and writes its arrays to shared storage. Scoring
 tasks map the arrays into memory and touch the pages they need; of a block's words and
 pairs each is looked up once, shard after shard, and up to OPEN shards stay mapped.
 
@@ -41,11 +41,10 @@ import io
 import itertools
 import os
 import tempfile
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from functools import lru_cache
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
 import pyarrow.fs
@@ -57,6 +56,7 @@ from .common import Scratch, unused, widened
 from .eliasfano import EliasFano, U
 
 BLOCK, DISCOUNT, STEP, OPEN, ORDER = 1_200_000, 0.75, 1024, 256, 3
+CODEC, SHARD, MERGE = "zstd", 4_000_000, 1 << 17  # tokens of a shard of levels 2 and 3; entries handled at once
 END = b"\n"  # no word holds it
 WEIGHTS = 10.0 ** (-np.arange(1 << 16) / STEP)  # by code
 
@@ -119,15 +119,15 @@ class Block:
         parts = pc.ascii_split_whitespace(pc.ascii_lower(texts))  # the blanks are space and 9 to 13
         sizes = np.asarray(parts.value_lengths()).astype(np.int64)
         words, row = parts.flatten(), np.repeat(np.arange(len(sizes)), sizes)
+        del parts
         said = np.asarray(pc.binary_length(words)) > 0  # blanks at an end leave an empty word
         if not said.all():
             words, row = words.filter(pa.array(said)), row[said]
         coded = words.dictionary_encode()
         self.sizes = np.bincount(row, minlength=len(sizes)) + 1
-        self.tokens = np.zeros(len(row) + len(sizes), np.int64)
-        self.tokens[np.arange(len(row)) + row] = np.asarray(coded.indices).astype(np.int64) + 1  # an end stands after each text
-        self.row = np.repeat(np.arange(len(sizes)), self.sizes)
-        self.before = np.concatenate([[0], self.tokens[:-1]]) if len(self.tokens) else self.tokens
+        self.tokens = np.zeros(len(row) + len(sizes), np.int32)
+        row += np.arange(len(row))
+        self.tokens[row] = np.asarray(coded.indices) + 1  # an end stands after each text
         known = coded.dictionary.cast(pa.binary()).to_pylist()
         self.hashes = np.fromiter(map(xxhash.xxh64_intdigest, itertools.chain([END], known)), U, len(known) + 1)
 
@@ -138,6 +138,7 @@ def _blocks(batches: Iterator[pa.RecordBatch], text: int) -> Iterator[tuple[pa.T
 
     def made() -> tuple[pa.Table, Block]:
         rows = pa.Table.from_batches(held)
+        held.clear()
         return rows, Block(rows.column(text).combine_chunks().fill_null(""))
 
     for b in batches:
@@ -149,35 +150,68 @@ def _blocks(batches: Iterator[pa.RecordBatch], text: int) -> Iterator[tuple[pa.T
             size, at = int(upto[end - 1]), end
             if size >= BLOCK:
                 yield made()
-                held, upto, size = [], upto - size, 0
+                upto, size = upto - size, 0
     if held:
         yield made()
 
 
 def _planes(values: np.ndarray) -> bytes:
-    """The first bytes of all values, then their second bytes, and so on."""
-    return np.ascontiguousarray(values.view(np.uint8).reshape(len(values), values.itemsize).T).tobytes()
+    """The first bytes of all values, then their second bytes, and so on, compressed: so they take little room in the JVM, too."""
+    return pa.compress(np.ascontiguousarray(values.view(np.uint8).reshape(len(values), values.itemsize).T), codec=CODEC, asbytes=True)
 
 
-def _whole(raw: bytes, kind: type) -> np.ndarray:
+def _whole(raw: pa.Buffer, kind: type, n: int) -> np.ndarray:
     size = np.dtype(kind).itemsize
-    return np.ascontiguousarray(np.frombuffer(raw, np.uint8).reshape(size, -1).T).view(kind).ravel()
+    return np.ascontiguousarray(np.frombuffer(pa.decompress(raw, n * size, codec=CODEC), np.uint8).reshape(size, -1).T).view(kind).ravel()
 
 
 def _rows(shard: np.ndarray, keys: np.ndarray, counts: np.ndarray) -> Iterator[pa.RecordBatch]:
     """One row for each shard of keys sorted by shard and key: the keys' differences and their counts as bytes."""
     first, _ = _runs(shard)
     for a, b in zip(first, np.append(first[1:], len(keys))):
-        yield pa.RecordBatch.from_pydict({"shard": pa.array([shard[a]], pa.int64()), "keys": [_planes(np.diff(keys[a:b].astype(U), prepend=U(0)))], "counts": [_planes(counts[a:b].astype(np.uint32))]})
+        yield _row(int(shard[a]), keys[a:b], counts[a:b])
 
 
-def _merge(rows: pd.DataFrame) -> tuple[np.ndarray, np.ndarray]:
-    keys = np.concatenate([np.cumsum(_whole(k, U), dtype=U) for k in rows["keys"]])
-    counts = np.concatenate([_whole(c, np.uint32) for c in rows["counts"]])
-    order = np.argsort(keys, kind="stable")
-    keys, counts = keys[order], counts[order].astype(np.int64)
-    first = np.concatenate([[True], keys[1:] != keys[:-1]])
-    return keys[first], np.add.reduceat(counts, np.nonzero(first)[0])
+def _row(shard: int, keys: np.ndarray, counts: np.ndarray) -> pa.RecordBatch:
+    return pa.RecordBatch.from_pydict({"shard": pa.array([shard], pa.int64()), "n": pa.array([len(keys)], pa.int64()), "keys": pa.array([_planes(np.diff(keys.astype(U), prepend=U(0)))], pa.binary()), "counts": pa.array([_planes(counts.astype(np.uint32))], pa.binary())})
+
+
+def _sized(shard: int, counts: np.ndarray) -> pa.Table:
+    return pa.table({"shard": pa.array([shard], pa.int64()), "n": pa.array([len(counts)], pa.int64()), "total": pa.array([int(counts.sum())], pa.int64())})
+
+
+def _shard_of(rows: pa.Table) -> int:
+    return rows.column("shard")[0].as_py()
+
+
+def _merge(rows: pa.Table) -> tuple[np.ndarray, np.ndarray]:
+    """The keys of all rows in order, each once, and the sums of their counts. Rows are sorted, so ranges of keys are merged one after the other."""
+    raw = [[x.as_buffer() for x in rows.column(c)] for c in ("keys", "counts")]
+    ends = np.cumsum([0, *rows.column("n").to_pylist()])
+    keys, counts = np.empty(ends[-1], U), np.empty(ends[-1], np.uint32)
+    for a, b, k, c in zip(ends, ends[1:], *raw):
+        np.cumsum(_whole(k, U, b - a), out=keys[a:b])
+        counts[a:b] = _whole(c, np.uint32, b - a)
+    cuts = np.unique(np.sort(keys[:: MERGE // 64])[64::64])  # ranges of about so many, but for a key that many rows have
+    spans = np.stack([np.concatenate([[a], a + np.searchsorted(keys[a:b], cuts), [b]]) for a, b in zip(ends, ends[1:])], axis=1).tolist()
+    out = []
+    for at, to in zip(spans, spans[1:]):
+        part = np.concatenate([keys[a:b] for a, b in zip(at, to)])
+        order = np.argsort(part, kind="stable")
+        part = part[order]
+        first, _ = _runs(part)
+        if len(first):
+            out.append((part[first], np.add.reduceat(np.concatenate([counts[a:b] for a, b in zip(at, to)])[order], first, dtype=np.int64)))
+    del keys, counts
+    return np.concatenate([k for k, _ in out]), np.concatenate([c for _, c in out])
+
+
+def _parts(n: int) -> Iterator[slice]:
+    return (slice(a, min(n, a + MERGE)) for a in range(0, n, MERGE))
+
+
+def _codes(p: np.ndarray) -> np.ndarray:
+    return np.round(-np.log10(p) * STEP).astype(np.uint16)
 
 
 class Model:
@@ -228,18 +262,19 @@ def _count_words(bits: int):
             order = np.argsort(block.hashes)
             h = block.hashes[order]
             yield from _rows((h >> U(64 - bits)).astype(np.int64) if bits else np.zeros(len(h), np.int64), h, counts[order])
+            del block
 
     return run
 
 
 def _write_words(path: str, bits: int):
-    def run(rows: pd.DataFrame) -> pd.DataFrame:
+    def run(rows: pa.Table) -> pa.Table:
         keys, counts = _merge(rows)
-        s = int(rows["shard"].iloc[0])
+        s = _shard_of(rows)
         sums = np.concatenate([[0], np.cumsum(counts)])
         put(f"{path}/1-{s}", _named("hash", EliasFano.build(keys, 1 << 64)) if not bits else _named("hash", EliasFano.build(keys, (s + 1) << (64 - bits))))
         put(f"{path}/1-{s}", _named("sum", EliasFano.build(sums, int(sums[-1]) + 1)))
-        return pd.DataFrame({"shard": [s], "n": [len(keys)], "total": [int(sums[-1])]})
+        return _sized(s, counts)
 
     return run
 
@@ -248,16 +283,29 @@ def _count_pairs(model: Model):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for _, block in _blocks(batches, 0):
             pairs = Pairs(model, block)
-            yield from _rows(pairs.shard, pairs.ids[pairs.v].astype(U) << U(32) | pairs.ids[pairs.w].astype(U), pairs.n)
+            yield from _rows(pairs.shard, _keys(pairs.ids[pairs.v], pairs.ids[pairs.w]), pairs.n)
+            del pairs, block  # before the next are made
 
     return run
 
 
+def _keys(high: np.ndarray, low: np.ndarray) -> np.ndarray:
+    keys = high.astype(U)
+    keys <<= U(32)
+    keys |= low.astype(U)
+    return keys
+
+
 def _write_pairs(model: Model):
-    def run(rows: pd.DataFrame) -> pd.DataFrame:
+    def run(rows: pa.Table) -> pa.Table:
         keys, counts = _merge(rows)
-        s = int(rows["shard"].iloc[0])
-        v, first = np.unique(keys >> U(32), return_index=True)
+        s = _shard_of(rows)
+        new = np.ones(len(keys), bool)
+        for i in _parts(len(keys) - 1):
+            new[1:][i] = keys[1:][i] >> U(32) != keys[:-1][i] >> U(32)
+        first = np.nonzero(new)[0]
+        context = np.cumsum(new, dtype=np.int32) - np.int32(1)
+        v = keys[first] >> U(32)
         totals = np.zeros(len(v), np.int64)
         for u in np.unique(at := np.searchsorted(model.base, v.astype(np.int64), side="right") - 1):
             mine = np.nonzero(at == u)[0]
@@ -265,33 +313,36 @@ def _write_pairs(model: Model):
             local = v[mine].astype(np.int64) - model.base[u]
             totals[mine] = sums.get(local + 1).astype(np.int64) - sums.get(local).astype(np.int64)
         many = np.diff(np.append(first, len(keys)))
-        p = (counts - DISCOUNT) / np.repeat(totals, many)
+        code = np.empty(len(keys), np.uint16)
+        for i in _parts(len(keys)):
+            code[i] = _codes((counts[i] - DISCOUNT) / totals[context[i]])
+            _place(keys[i], context[i], model)
         put(f"{model.path}/2-{s}", _named("context", EliasFano.build(v, 1 << 32)))
         put(f"{model.path}/2-{s}", _named("pointer", EliasFano.build(np.append(first, len(keys)), len(keys) + 1)))
-        put(f"{model.path}/2-{s}", _named("next", EliasFano.build(_places(np.repeat(np.arange(len(v)), many), keys, model), len(v) * model.v)))
-        put(f"{model.path}/2-{s}", {"code": np.round(-np.log10(p) * STEP).astype(np.uint16)})
+        put(f"{model.path}/2-{s}", _named("next", EliasFano.build(keys, len(v) * model.v)))
+        put(f"{model.path}/2-{s}", {"code": code})
         cuts = np.searchsorted(v.astype(np.int64), model.base)
-        own = [(u, a, b) for u, (a, b) in enumerate(zip(cuts, cuts[1:])) if a < b]
-        return pd.DataFrame({"shard": [u for u, *_ in own], "keys": [_planes(np.diff(v[a:b] - U(model.base[u]), prepend=U(0))) for u, a, b in own], "counts": [_planes(many[a:b].astype(np.uint32)) for _, a, b in own]})
+        return pa.Table.from_batches([_row(u, v[a:b] - U(model.base[u]), many[a:b]) for u, (a, b) in enumerate(zip(cuts, cuts[1:])) if a < b])
 
     return run
 
 
-def _places(context: np.ndarray, keys: np.ndarray, model: Model) -> np.ndarray:
-    """Successors (the low half of a key) counted on from their context's place."""
-    return context.astype(U) * U(model.v) + (keys & U(0xFFFFFFFF))
+def _place(keys: np.ndarray, context: np.ndarray, model: Model) -> None:
+    """Turn keys into successors (their low halves) counted on from their context's place."""
+    keys &= U(0xFFFFFFFF)
+    keys += context.astype(U) * U(model.v)
 
 
 def _write_after(model: Model):
     """Of a shard of level 1, the numbers of different words after each word; a frequent context's parts are added up."""
 
-    def run(rows: pd.DataFrame) -> pd.DataFrame:
+    def run(rows: pa.Table) -> pa.Table:
         keys, counts = _merge(rows)
-        s = int(rows["shard"].iloc[0])
+        s = _shard_of(rows)
         after = np.zeros(int(model.words[s]), np.uint32)
         after[keys.astype(np.int64)] = counts
         put(f"{model.path}/1-{s}", {"after": after})
-        return pd.DataFrame({"shard": [s], "n": [len(keys)], "total": [int(counts.sum())]})
+        return _sized(s, counts)
 
     return run
 
@@ -300,31 +351,43 @@ def _count_triples(model: Model):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for _, block in _blocks(batches, 0):
             pairs = Pairs(model, block)
-            context, word, _, _, n = pairs.triples()
-            yield from _rows(pairs.shard[context], pairs.rank[context].astype(U) << U(32) | pairs.ids[word].astype(U), n)
+            context, word, _, n = pairs.triples()
+            yield from _rows(pairs.shard[context], _keys(pairs.rank[context], pairs.ids[word]), n)
+            del pairs, block, context, word, n
 
     return run
 
 
 def _write_triples(model: Model):
-    def run(rows: pd.DataFrame) -> pd.DataFrame:
+    def run(rows: pa.Table) -> pa.Table:
         keys, counts = _merge(rows)
-        s = int(rows["shard"].iloc[0])
+        s = _shard_of(rows)
         size = len(_array(f"{model.path}/2-{s}", "code"))
-        pair = (keys >> U(32)).astype(np.int64)
-        many, totals = np.bincount(pair, minlength=size), np.bincount(pair, weights=counts, minlength=size)
-        code = lambda p: np.round(-np.log10(p) * STEP).astype(np.uint16)
-        back = np.ones(size)  # a pair that ends a text leaves all
-        back[many > 0] = DISCOUNT * many[many > 0] / totals[many > 0]
+        many, totals = np.zeros(size, np.int64), np.zeros(size)
+        for i in _parts(len(keys)):
+            pair = (keys[i] >> U(32)).astype(np.int64)
+            low, high = pair[0], pair[-1] + 1
+            many[low:high] += np.bincount(pair - low)
+            totals[low:high] += np.bincount(pair - low, weights=counts[i])
+        code = np.empty(len(keys), np.uint16)
+        for i in _parts(len(keys)):
+            pair = (keys[i] >> U(32)).astype(np.int64)
+            code[i] = _codes((counts[i] - DISCOUNT) / totals[pair])
+            _place(keys[i], pair, model)
+        back = np.empty(size, np.uint16)
+        for i in _parts(size):  # a pair that ends a text leaves all
+            back[i] = _codes(np.where(many[i] > 0, DISCOUNT * many[i] / np.maximum(totals[i], 1), 1))
+        done = _sized(s, counts)
+        del counts, totals
+        put(f"{model.path}/3-{s}", _named("next", EliasFano.build(keys, size * model.v)))
         put(f"{model.path}/3-{s}", _named("pointer", EliasFano.build(np.append(0, np.cumsum(many)), len(keys) + 1)))
-        put(f"{model.path}/3-{s}", _named("next", EliasFano.build(_places(pair, keys, model), size * model.v)))
-        put(f"{model.path}/3-{s}", {"back": code(back), "code": code((counts - DISCOUNT) / totals[pair])})
-        return pd.DataFrame({"shard": [s], "n": [len(keys)], "total": [int(counts.sum())]})
+        put(f"{model.path}/3-{s}", {"back": back, "code": code})
+        return done
 
     return run
 
 
-ROWS, SIZES = "shard long, keys binary, counts binary", "shard long, n long, total long"
+ROWS, SIZES = "shard long, n long, keys binary, counts binary", "shard long, n long, total long"
 
 
 def fit(docs: DataFrame, scratch: Scratch, text: str = "text", parts: int | None = None, order: int = ORDER) -> Model:
@@ -335,13 +398,15 @@ def fit(docs: DataFrame, scratch: Scratch, text: str = "text", parts: int | None
     parts = parts or max(1, texts.rdd.getNumPartitions())
     bits = (parts - 1).bit_length()
     path = f"{scratch.path}/trie"
-    words = texts.mapInArrow(_count_words(bits), ROWS).groupBy("shard").applyInPandas(_write_words(path, bits), SIZES)
-    model = Model(path, bits, words.collect(), parts, order)  # a row for each shard
-    pairs = texts.mapInArrow(_count_pairs(model), ROWS).groupBy("shard").applyInPandas(_write_pairs(model), ROWS)
-    pairs.groupBy("shard").applyInPandas(_write_after(model), SIZES).agg(F.sum("n")).collect()
+    words = texts.mapInArrow(_count_words(bits), ROWS).groupBy("shard").applyInArrow(_write_words(path, bits), SIZES)
+    level1 = words.collect()  # a row for each shard
+    shards = max(parts, -(-sum(r.total for r in level1) // SHARD))  # large partitions are no large shards
+    model = Model(path, bits, level1, shards, order)
+    pairs = texts.mapInArrow(_count_pairs(model), ROWS).groupBy("shard").applyInArrow(_write_pairs(model), ROWS)
+    pairs.groupBy("shard").applyInArrow(_write_after(model), SIZES).agg(F.sum("n")).collect()
     model.followed = True
     if order == 3:
-        texts.mapInArrow(_count_triples(model), ROWS).groupBy("shard").applyInPandas(_write_triples(model), SIZES).agg(F.sum("n")).collect()
+        texts.mapInArrow(_count_triples(model), ROWS).groupBy("shard").applyInArrow(_write_triples(model), SIZES).agg(F.sum("n")).collect()
     return model
 
 
@@ -356,47 +421,57 @@ def _exists_at(path: str) -> bool:
 def _runs(sorted_: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Where each run of equal values begins, and the run of every place."""
     new = np.append(True, sorted_[1:] != sorted_[:-1]) if len(sorted_) else np.zeros(0, bool)
-    return np.nonzero(new)[0], np.cumsum(new) - 1
+    run = np.cumsum(new, dtype=np.int32)
+    run -= 1
+    return np.nonzero(new)[0], run
 
 
 def _distinct(high: np.ndarray, low: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """(high, low, number of every row's pair, counts): the different pairs in order. Where bits allow, each row's place is sorted along in one integer, which is several times as fast."""
+    """(high, low, number of every row's pair, counts): the different pairs in order, all of 32 bits. Where bits allow, each row's place is sorted along in one integer, which is several times as fast."""
     n = len(high)
     if not n:
-        return high, low, np.zeros(0, np.int64), np.zeros(0, np.int64)
+        return high, low, np.zeros(0, np.int32), np.zeros(0, np.int32)
     place, right = n.bit_length(), int(low.max()).bit_length()
+    key = high.astype(np.int64)
     if int(high.max()).bit_length() + right + place <= 63:
-        key = high << (right + place) | low << place | np.arange(n)
+        key <<= right
+        key |= low
+        key <<= place
+        key |= np.arange(n, dtype=np.int32)
         key.sort()
-        order = key & ((1 << place) - 1)
+        order = (key & ((1 << place) - 1)).astype(np.int32)
         key >>= place
     else:
         right = 32
-        key = high << right | low
+        key <<= right
+        key |= low
         order = np.argsort(key, kind="stable")
         key = key[order]
     first, run = _runs(key)
-    of = np.empty(n, np.int64)
+    of = np.empty(n, np.int32)
     of[order] = run
-    return key[first] >> right, key[first] & ((1 << right) - 1), of, np.diff(np.append(first, n))
+    del order, run
+    key = key[first]
+    return (key >> right).astype(np.int32), (key & ((1 << right) - 1)).astype(np.int32), of, np.diff(np.append(first, n)).astype(np.int32)
 
 
-def _found(model: Model, level: int, shard: np.ndarray, context: np.ndarray, word: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(place in the shard or -1, stored probability or 0, weight left to the shorter context or 1) of n-grams of a level, sorted by shard and context."""
-    place, p, back = np.full(len(shard), -1), np.zeros(len(shard)), np.ones(len(shard))
+def _found(model: Model, level: int, shard: np.ndarray, ngrams: Callable[[slice], tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(place in the shard or -1, stored probability or 0, weight left to the shorter context or 1) of n-grams of a level, sorted by shard and context. ngrams: the contexts and words of some of them."""
+    place, p, back = np.full(len(shard), -1, np.int32), np.zeros(len(shard)), np.ones(len(shard) if level > 2 else 0)
     first, _ = _runs(shard)
     for a, b in zip(first, np.append(first[1:], len(shard))):
         path = f"{model.path}/{level}-{int(shard[a])}"
         if not _exists_at(path):
             continue
+        context, word = ngrams(slice(a, b))
         if level > 2:
-            own = context[a:b]
+            own = context
             back[a:b] = WEIGHTS[_array(path, "back")[own]]
         else:
-            start, of = _runs(context[a:b])
-            own = _sequence(path, "context").find(context[a:b][start])[of]
+            start, of = _runs(context)
+            own = _sequence(path, "context").find(context[start])[of]
         ok = np.nonzero(own >= 0)[0]
-        got = _sequence(path, "next").find(own[ok].astype(U) * U(model.v) + word[a:b][ok].astype(U))
+        got = _sequence(path, "next").find(own[ok].astype(U) * U(model.v) + word[ok].astype(U))
         hit = ok[got >= 0] + a
         place[hit] = got[got >= 0]
         p[hit] = WEIGHTS[_array(path, "code")[got[got >= 0]]]
@@ -409,25 +484,31 @@ class Pairs:
     def __init__(self, model: Model, block: Block):
         ids, counts, sums, after = model.lookup(block.hashes, followed=model.followed)
         order = np.argsort(ids, kind="stable")
-        number = np.empty_like(order)
+        number = np.empty(len(order), np.int32)
         number[order] = np.arange(len(order))
         self.ids, self.counts, self.sums, self.after = ids[order], counts[order], sums[order], after[order]
         self.sizes, self.tokens = block.sizes, number[block.tokens]
-        self.v, self.w, self.of, self.n = _distinct(number[block.before], self.tokens)
-        known = np.nonzero((self.ids[self.v] >= 0) & (self.ids[self.w] >= 0))[0]
-        v, w = self.v[known], self.w[known]
-        self.shard, self.rank, self.p = np.zeros(len(self.v), np.int64), np.full(len(self.v), -1), np.zeros(len(self.v))
-        self.shard[known] = model.shard(self.sums[v], self.counts[v], self.ids[w])
+        before = np.concatenate([number[:1], self.tokens[:-1]]) if len(self.tokens) else self.tokens
+        self.v, self.w, self.of, self.n = _distinct(before, self.tokens)
+        del before
+        known = np.nonzero((self.ids[self.v] >= 0) & (self.ids[self.w] >= 0))[0].astype(np.int32)
+        self.shard, self.rank, self.p = np.zeros(len(self.v), np.int32), np.full(len(self.v), -1, np.int32), np.zeros(len(self.v))
+        for i in _parts(len(known)):
+            v, w = self.v[known[i]], self.w[known[i]]
+            self.shard[known[i]] = model.shard(self.sums[v], self.counts[v], self.ids[w])
         if model.followed:
-            self.rank[known], self.p[known], _ = _found(model, 2, self.shard[known], self.ids[v], self.ids[w])
+            self.rank[known], self.p[known], _ = _found(model, 2, self.shard[known], lambda i: (self.ids[self.v[known[i]]], self.ids[self.w[known[i]]]))
 
-    def triples(self) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-        """(pair, word, triple of each token in at, at, counts): the different triples as numbers of a pair and a word; at: all tokens but the first of each text."""
-        later = np.ones(len(self.of), bool)
+    def triples(self) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """(pair, word, triple of each token but the first of each text, counts): the different triples as numbers of a pair and a word."""
+        later = self.later()
+        return _distinct(self.of[:-1][later[1:]], self.tokens[later])
+
+    def later(self) -> np.ndarray:
+        """Of each token, whether it is not the first of its text."""
+        later = np.ones(len(self.tokens), bool)
         later[np.cumsum(self.sizes) - self.sizes] = False
-        at = np.nonzero(later)[0]
-        pair, word, of, n = _distinct(self.of[at - 1], self.tokens[at])
-        return pair, word, of, at, n
+        return later
 
 
 def score_block(model: Model, block: Block) -> dict[str, np.ndarray]:
@@ -437,40 +518,54 @@ def score_block(model: Model, block: Block) -> dict[str, np.ndarray]:
     back = np.ones(len(counts))
     seen = np.nonzero(pairs.ids >= 0)[0]
     back[seen] = DISCOUNT * pairs.after[seen] / counts[seen]
-    p = (pairs.p + back[pairs.v] * single[pairs.w])[pairs.of]
+    for i in _parts(len(pairs.p)):
+        pairs.p[i] += back[pairs.v[i]] * single[pairs.w[i]]
+    p = pairs.p[pairs.of]
+    pairs.p = pairs.v = pairs.w = None
     if model.order > 2 and len(p):
-        context, word, of, at, _ = pairs.triples()
-        known = np.nonzero((pairs.rank[context] >= 0) & (pairs.ids[word] >= 0))[0]
-        own, left = np.zeros(len(context)), np.ones(len(context))
-        _, own[known], left[known] = _found(model, 3, pairs.shard[context[known]], pairs.rank[context[known]], pairs.ids[word[known]])
+        context, word, of, _ = pairs.triples()
+        pairs.of = None
+        seen = pairs.rank[context] >= 0
         # a triple whose last word is new has no place, but its context still leaves its weight
-        new = np.nonzero((pairs.rank[context] >= 0) & (pairs.ids[word] < 0))[0]
+        new = np.nonzero(seen & (pairs.ids[word] < 0))[0]
+        known = np.nonzero(seen & (pairs.ids[word] >= 0))[0].astype(np.int32)
+        own, left = np.zeros(len(context)), np.ones(len(context))
+        _, own[known], left[known] = _found(model, 3, pairs.shard[context[known]], lambda i: (pairs.rank[context[known[i]]], pairs.ids[word[known[i]]]))
         left[new] = _left(model, pairs.shard[context[new]], pairs.rank[context[new]])
-        p[at] = own[of] + left[of] * p[at]
+        del context, word, seen, new, known
+        at = np.nonzero(pairs.later())[0]
+        for i in _parts(len(at)):
+            p[at[i]] = own[of[i]] + left[of[i]] * p[at[i]]
+        del own, left, of, at
     rows = len(block.sizes)
-    add = lambda x: np.bincount(block.row, weights=x, minlength=rows)
-    base = np.log10(single)
-    return {"n_tokens": block.sizes, "n_known": add((counts > 0).astype(float)[pairs.tokens]).astype(np.int64), "base_score": add(base[pairs.tokens]), "score": add(np.log10(p))}
+    row = np.repeat(np.arange(rows), block.sizes)
+    add = lambda x: np.bincount(row, weights=x, minlength=rows)
+    return {"n_tokens": block.sizes, "n_known": add((counts > 0)[pairs.tokens]).astype(np.int64), "base_score": add(np.log10(single)[pairs.tokens]), "score": add(np.log10(p, out=p))}
 
 
 def _left(model: Model, shard: np.ndarray, rank: np.ndarray) -> np.ndarray:
     """The weight that contexts of level 3, sorted, leave to the shorter one."""
-    return _found(model, 3, shard, rank, np.zeros(len(shard), np.int64))[2]
+    return _found(model, 3, shard, lambda i: (rank[i], np.zeros(len(rank[i]), np.int64)))[2]
 
 
 def score(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
     """The documents with n_tokens, n_known, train_tokens, base_score and score (columns of these names are replaced)."""
     new = ("n_tokens", "n_known", "train_tokens", "base_score", "score")
     base = docs.drop(*new)
+    kind = dict(base.dtypes).get(text)
     names, own = base.columns, unused(base, "text_")
+    texts, at = ([], base.columns.index(text)) if kind == "string" else ([base[text].cast("string").alias(own)], len(names))  # large texts go to the workers once
     schema = widened(base, **{c: "double" if c.endswith("score") else "long" for c in new})
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for rows, block in _blocks(batches, len(names)):
+        for rows, block in _blocks(batches, at):
             out = score_block(model, block)
             out["train_tokens"] = np.full(len(block.sizes), model.n)
+            del block  # before the next is made
+            rows = rows.select(names)
             for c in new:
                 rows = rows.append_column(c, pa.array(out[c]))
-            yield from rows.drop_columns([own]).combine_chunks().to_batches()
+            yield from rows.combine_chunks().to_batches()
+            del rows, out
 
-    return base.select(*[base[c] for c in names], base[text].cast("string").alias(own)).mapInArrow(run, schema)
+    return base.select(*[base[c] for c in names], *texts).mapInArrow(run, schema)
