@@ -37,10 +37,8 @@ token has probability 1.
 
 from __future__ import annotations
 
-import io
 import itertools
 import os
-import tempfile
 from collections.abc import Callable, Iterator
 from functools import lru_cache
 
@@ -52,6 +50,8 @@ import xxhash
 from pyspark.sql import DataFrame, Row
 from pyspark.sql import functions as F
 
+from clipweave.sources.shared import get, local_path, put
+
 from .common import Scratch, unused, widened
 from .eliasfano import EliasFano, U
 
@@ -61,42 +61,6 @@ END = b"\n"  # no word holds it
 WEIGHTS = 10.0 ** (-np.arange(1 << 16) / STEP)  # by code
 
 
-def _local(path: str) -> str | None:
-    return path[5:].replace("//", "/") if path.startswith("file:") else path if "://" not in path else None
-
-
-def put(path: str, arrays: dict[str, np.ndarray]) -> None:
-    """Write arrays under a path of shared storage; a repeated task writes the same."""
-    for name, array in arrays.items():
-        to = f"{path}.{name}.npy"
-        raw = io.BytesIO()
-        np.save(raw, array)
-        if local := _local(to):
-            os.makedirs(os.path.dirname(local), exist_ok=True)
-            fd, tmp = tempfile.mkstemp(dir=os.path.dirname(local))
-            with os.fdopen(fd, "wb") as f:
-                f.write(raw.getvalue())
-            os.replace(tmp, local)
-        else:
-            fs, at = pyarrow.fs.FileSystem.from_uri(to)
-            with fs.open_output_stream(at) as f:
-                f.write(raw.getvalue())
-
-
-def get(path: str, *names: str) -> dict[str, np.ndarray]:
-    """Map arrays into memory; from storage that is no file system they are read."""
-    out = {}
-    for name in names:
-        at = f"{path}.{name}.npy"
-        if local := _local(at):
-            out[name] = np.asarray(np.load(local, mmap_mode="r"))
-        else:
-            fs, key = pyarrow.fs.FileSystem.from_uri(at)
-            with fs.open_input_stream(key) as f:
-                out[name] = np.load(io.BytesIO(f.read()))
-    return out
-
-
 def _named(prefix: str, arrays: dict[str, np.ndarray]) -> dict[str, np.ndarray]:
     return {f"{prefix}-{k}": v for k, v in arrays.items()}
 
@@ -412,7 +376,7 @@ def fit(docs: DataFrame, scratch: Scratch, text: str = "text", parts: int | None
 
 @lru_cache(maxsize=1 << 16)
 def _exists_at(path: str) -> bool:
-    if local := _local(f"{path}.code.npy"):
+    if local := local_path(f"{path}.code.npy"):
         return os.path.exists(local)
     fs, key = pyarrow.fs.FileSystem.from_uri(f"{path}.code.npy")
     return fs.get_file_info(key).type != pyarrow.fs.FileType.NotFound
