@@ -155,6 +155,7 @@ def generate_pattern(call: Callable[[str], str], prompt: str, pattern: str, most
     return attempt(call, prompt, Spec("pattern", pattern=pattern), most, **options)[0]
 
 
+ROWS = 256  # requests that are held at once
 ANSWERS = "request_id long, value string, attempts int, error_type string, seconds double"
 
 
@@ -170,7 +171,7 @@ def generate(requests: DataFrame, make_client: Callable[[], Callable[[str], str]
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         client = make_client()
         try:
-            for b in batches:
+            for b in (b.slice(k, ROWS) for b in batches for k in range(0, b.num_rows, ROWS)):
                 out = []
                 for r in b.to_pylist():
                     value, records = attempt(client, r["prompt"], kind, most, **spec | {k: r[k] if k == "max_items" else r[k] or () for k in own})
